@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analytics this library reproduces contain no streaming operator: no
+watermark, event-time window, stateful operator or late-data rule. Nothing is
+built here on purpose; every operator is a batch DataFrame function and can be
+applied per micro-batch through ``writeStream.foreachBatch`` by the caller.
+"""
