@@ -29,3 +29,41 @@ def business_terms(t: Tables):
 def tfidf_match(t: Tables):
     """Flagship: top-5 TF-IDF (char_wb 3-gram, stemmer on) candidates per data field."""
     return M.tfidf_match(data_fields(t), business_terms(t), "key", "key", ncandidates=5)
+
+
+# ---- text-distance ranking (inputs and terms as normalised keys) ----------
+from kestrel.functions import distance as DI  # noqa: E402
+
+NK_FIELDS_SQL = f"SELECT {S.norm_key('p_brand', 'p_name')} AS key FROM part"
+NK_TERMS_SQL = f"SELECT {S.norm_key('p_type', 'p_name')} AS key FROM part"
+
+
+def nk_fields(t: Tables):
+    return M.normalize_key(t.part, "p_brand", "p_name")
+
+
+def nk_terms(t: Tables):
+    return M.normalize_key(t.part, "p_type", "p_name")
+
+
+def _textdist(algorithm: str, ngrams: int = 1):
+    def run(t: Tables):
+        return M.textdist_match(nk_fields(t), nk_terms(t), "key", "key", algorithm, ngrams, 5)
+    return run
+
+
+_DIST_KEYS = {
+    "dist_hamming": "Hamming", "dist_levenshtein": "Levenshtein", "dist_damerau": "DamerauLevenshtein",
+    "sim_jaro": "Jaro", "sim_jaro_winkler": "JaroWinkler", "sim_strcmp95": "StrCmp95",
+    "sim_needleman_wunsch": "NeedlemanWunsch", "sim_gotoh": "Gotoh", "sim_smith_waterman": "SmithWaterman",
+    "sim_overlap": "Overlap", "sim_cosine": "Cosine", "sim_jaccard": "Jaccard", "sim_tversky": "Tversky",
+    "sim_sorensen": "Sorensen",
+}
+for _key, _algo in _DIST_KEYS.items():
+    _sql = None
+    if _algo in S.TOKEN_FORMULA or _algo in S.EDIT_SQL:
+        _sql = S.textdist_sql(NK_FIELDS_SQL, NK_TERMS_SQL, _algo, _algo in DI.REVERSE)
+    register(_key, _sql)(_textdist(_algo))
+
+register("textdist_match", S.textdist_sql(NK_FIELDS_SQL, NK_TERMS_SQL, "JaroWinkler", True))(
+    _textdist("JaroWinkler"))

@@ -88,3 +88,50 @@ cos AS (SELECT a.key AS input, b.key AS match, round(sum(a.weight * b.weight), 4
 ranked AS (SELECT input, match, score,
            row_number() OVER (PARTITION BY input ORDER BY score DESC, match) AS rank FROM cos WHERE score > 0)
 SELECT input, rank::INTEGER AS rank, match, score FROM ranked WHERE rank <= {n_top}"""
+
+
+def norm_key(parent: str, child: str) -> str:
+    return f"lower(replace({parent}, ' ', '_') || '.' || replace({child}, ' ', '_'))"
+
+
+def _char_counts(src: str) -> str:
+    return (f"SELECT key, ch, count(*) AS c FROM (SELECT key, unnest(string_split(key, '')) AS ch FROM {src}) "
+            f"GROUP BY key, ch")
+
+
+TOKEN_FORMULA = {
+    "Overlap": "x / least(na, nb)",
+    "Cosine": "x / sqrt(na * nb)",
+    "Jaccard": "x / (na + nb - x)",
+    "Tversky": "x / (na + nb - x)",
+    "Sorensen": "2 * x / (na + nb)",
+}
+EDIT_SQL = {
+    "Levenshtein": "levenshtein(input, match)::DOUBLE",
+    "DamerauLevenshtein": "damerau_levenshtein(input, match)::DOUBLE",
+    "Jaro": "CASE WHEN input = match THEN 1.0 ELSE jaro_similarity(input, match) END",
+    "JaroWinkler": "CASE WHEN input = match THEN 1.0 ELSE jaro_winkler_similarity(input, match) END",
+    "Hamming": ("(SELECT count(*) FROM range(1, greatest(length(input), length(match)) + 1) r(i) "
+                "WHERE substr(input, i::INTEGER, 1) IS DISTINCT FROM substr(match, i::INTEGER, 1))::DOUBLE"),
+}
+
+
+def textdist_sql(inputs_sql: str, terms_sql: str, algorithm: str, desc: bool, n_top: int = 5) -> str:
+    """Brute-force all pairs (the oracle may be quadratic), rank, keep top n."""
+    if algorithm in TOKEN_FORMULA:
+        pairs = f"""ci AS ({_char_counts('i')}), cm AS ({_char_counts('m')}),
+inter AS (SELECT ci.key AS a, cm.key AS b, sum(least(ci.c, cm.c)) AS x FROM ci JOIN cm ON ci.ch = cm.ch GROUP BY ci.key, cm.key),
+p AS (SELECT i.key AS input, m.key AS match, coalesce(inter.x, 0)::DOUBLE AS x,
+             length(i.key)::DOUBLE AS na, length(m.key)::DOUBLE AS nb
+      FROM i CROSS JOIN m LEFT JOIN inter ON inter.a = i.key AND inter.b = m.key),
+s AS (SELECT input, match, round(CASE WHEN input = match THEN 1.0 WHEN na = 0 OR nb = 0 THEN 0.0
+                                      ELSE {TOKEN_FORMULA[algorithm]} END, 4) AS score FROM p)"""
+    else:
+        pairs = f"""p AS (SELECT i.key AS input, m.key AS match FROM i CROSS JOIN m),
+s AS (SELECT input, match, round({EDIT_SQL[algorithm]}, 4) AS score FROM p)"""
+    order = "score DESC" if desc else "score"
+    return f"""WITH i AS (SELECT DISTINCT key FROM ({inputs_sql}) WHERE key IS NOT NULL),
+m AS (SELECT DISTINCT key FROM ({terms_sql}) WHERE key IS NOT NULL),
+{pairs},
+r AS (SELECT input, match, score, row_number() OVER (PARTITION BY input ORDER BY {order}, match) AS rank FROM s)
+SELECT input, rank::INTEGER AS rank, match, score FROM r WHERE rank <= {n_top}"""
