@@ -225,11 +225,19 @@ def stem(col: Column | str) -> Column:
     return F.array_join(F.transform(F.split(c, " "), lambda t: F.coalesce(F.try_element_at(m, t), t)), " ")
 
 
+def let(expr: Column, body) -> Column:
+    """Evaluate ``expr`` once and pass it to ``body`` as a lambda variable (a lambda body
+    would otherwise re-evaluate a captured expression for every array element)."""
+    return F.element_at(F.transform(F.array(expr), body), 1)
+
+
 def _windows(s: Column, n: int) -> Column:
     """All substrings of length n, in order; empty when s is shorter than n."""
-    ln = F.length(s)
-    return F.when(ln >= n, F.transform(F.sequence(F.lit(1), ln - n + 1), lambda i: F.substring(s, i, n))) \
-        .otherwise(F.array().cast("array<string>"))
+    def body(x):
+        ln = F.length(x)
+        return F.when(ln >= n, F.transform(F.sequence(F.lit(1), ln - n + 1), lambda i: F.substring(x, i, n))) \
+            .otherwise(F.array().cast("array<string>"))
+    return let(s, body)
 
 
 def words(col: Column | str) -> Column:
@@ -250,19 +258,27 @@ def char_ngrams(col: Column | str, n: int) -> Column:
     return _windows(F.regexp_replace(c, r"\s\s+", " "), n)
 
 
-def word_tokens(col: Column | str) -> Column:
+# a word character: letter, digit or underscore (any script)
+WORD_CHAR = r"[\p{L}\p{N}_]"
+
+
+def word_tokens(col: Column | str, min_len: int = 2) -> Column:
+    """Maximal runs of word characters of at least ``min_len``, lower-cased."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), 0)
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD_CHAR + "{" + str(min_len) + ",}"), 0)
 
 
-def word_ngrams(col: Column | str, n: int) -> Column:
-    toks = word_tokens(col)
+def word_ngrams(col: Column | str, n: int, min_len: int = 2) -> Column:
+    toks = word_tokens(col, min_len)
     if n == 1:
         return toks
-    k = F.size(toks)
-    return F.when(k >= n, F.transform(F.sequence(F.lit(1), k - n + 1),
-                                      lambda i: F.array_join(F.slice(toks, i, n), " "))) \
-        .otherwise(F.array().cast("array<string>"))
+
+    def body(tk):
+        k = F.size(tk)
+        return F.when(k >= n, F.transform(F.sequence(F.lit(1), k - n + 1),
+                                          lambda i: F.array_join(F.slice(tk, i, n), " "))) \
+            .otherwise(F.array().cast("array<string>"))
+    return let(toks, body)
 
 
 def analyzer_ngrams(col: Column | str, analyzer: str, n: int) -> Column:
@@ -276,9 +292,9 @@ def analyzer_ngrams(col: Column | str, analyzer: str, n: int) -> Column:
 
 
 def cleaned_char_ngrams(col: Column | str, n: int = 3) -> Column:
-    """Character n-grams after dropping the characters , - . / and the text ' BD'."""
+    """Character n-grams after dropping the characters , - . / and any blank followed by 'BD'."""
     c = F.col(col) if isinstance(col, str) else col
-    c = F.regexp_replace(F.regexp_replace(c, r"[,\-./]", ""), " BD", "")
+    c = F.regexp_replace(c, r"[,\-./]|\sBD", "")
     return _windows(c, n)
 
 

@@ -205,3 +205,122 @@ def textdist_match(inputs: DataFrame, terms: DataFrame, input_col: str, term_col
         .select("input", F.col("c.term").alias("match"),
                 (-F.col("c.k") if desc else F.col("c.k")).alias("score"))
     return top_n(per_block, ncandidates, descending=desc).select("input", "rank", "match", "score")
+
+
+# ---------------------------------------------------------------------------
+# Metadata extraction (joins of structure/field and entity/definition tables)
+# ---------------------------------------------------------------------------
+
+def dotted_names(parent: DataFrame, child: DataFrame, parent_key: str, child_fk: str,
+                 parent_name: str, child_name: str) -> DataFrame:
+    """Distinct ``parent.child`` names over an inner equi-join."""
+    j = child.join(parent, child[child_fk] == parent[parent_key], "inner")
+    return j.select(F.concat_ws(".", parent[parent_name], child[child_name]).alias("name")).distinct()
+
+
+def three_way_names(attribute: DataFrame, entity: DataFrame, definition: DataFrame,
+                    attr_entity_fk: str, entity_key: str, attr_def_fk: str, def_key: str,
+                    entity_name: str, def_name: str) -> DataFrame:
+    """Distinct ``entity.definition`` names over attribute ⋈ entity ⋈ definition.
+    Entity and definition tables are dimension-sized; Catalyst/AQE broadcast them."""
+    j = attribute.join(entity, attribute[attr_entity_fk] == entity[entity_key], "inner") \
+        .join(definition, attribute[attr_def_fk] == definition[def_key], "inner")
+    return j.select(F.concat_ws(".", entity[entity_name], definition[def_name]).alias("name")).distinct()
+
+
+def distinct_names(df: DataFrame, col: str) -> DataFrame:
+    return df.select(F.col(col).alias("name")).where(F.col("name").isNotNull()).distinct()
+
+
+# ---------------------------------------------------------------------------
+# Validation against set-valued ground truth
+# ---------------------------------------------------------------------------
+
+def truth_sets(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, truth: sorted distinct array) from (key, value) rows."""
+    return pairs.where(F.col(key).isNotNull() & F.col(value).isNotNull()) \
+        .groupBy(F.col(key).alias("input")).agg(F.array_sort(F.collect_set(value)).alias("truth"))
+
+
+def mapping_report(candidates: DataFrame, inputs: DataFrame, input_col: str, truth: DataFrame,
+                   ncandidates: int) -> DataFrame:
+    """Wide report: candidate columns, exact flag, best truth rank (0 when none), validation flag."""
+    allin = inputs.select(F.col(input_col).alias("input")).where(F.col("input").isNotNull()).distinct()
+    wide = candidates.groupBy("input").pivot("rank", list(range(1, ncandidates + 1))).agg(F.first("match"))
+    for r in range(1, ncandidates + 1):
+        wide = wide.withColumnRenamed(str(r), f"business_term_{r}")
+    hits = candidates.join(truth, "input").where(F.array_contains("truth", F.col("match"))) \
+        .groupBy("input").agg(F.min("rank").alias("best"))
+    out = allin.join(wide, "input", "left").join(truth, "input", "left").join(hits, "input", "left")
+    labelled = F.col("truth").isNotNull()
+    return out.select(
+        F.col("input").alias("data_field"),
+        *[F.col(f"business_term_{r}") for r in range(1, ncandidates + 1)],
+        F.when(labelled & F.coalesce(F.array_contains("truth", F.col("business_term_1")), F.lit(False)), 1)
+         .otherwise(0).alias("exact_match"),
+        F.when(labelled, F.coalesce(F.col("best"), F.lit(0))).otherwise(0).cast("int").alias("top_n_match"),
+        F.when(labelled, 1).otherwise(0).alias("is_validation"),
+        F.array_join("truth", ", ").alias("ground_truth"))
+
+
+def mapping_validation(candidates: DataFrame, truth: DataFrame, ncandidates: int) -> DataFrame:
+    """Exact@1 and any@n rates per algorithm over all labelled inputs.
+
+    ``candidates`` carries ``algorithm``, ``ngrams``, ``stemmer`` columns; one shuffle
+    aggregates every algorithm at once.
+    """
+    algos = candidates.select("algorithm", "ngrams", "stemmer").distinct()
+    hits = candidates.join(truth, "input") \
+        .groupBy("algorithm", "ngrams", "stemmer", "input").agg(
+            F.max(F.when((F.col("rank") == 1) & F.array_contains("truth", F.col("match")), 1).otherwise(0)).alias("e"),
+            F.max(F.when(F.array_contains("truth", F.col("match")), 1).otherwise(0)).alias("h")) \
+        .groupBy("algorithm", "ngrams", "stemmer").agg(F.sum("e").alias("exact"), F.sum("h").alias("topn"))
+    total = truth.select(F.count(F.lit(1))).scalar()
+    return algos.join(hits, ["algorithm", "ngrams", "stemmer"], "left").select(
+        "algorithm", "ngrams", "stemmer",
+        (F.coalesce(F.col("exact"), F.lit(0)) / total).alias("exact_match_rate"),
+        (F.coalesce(F.col("topn"), F.lit(0)) / total).alias("top_n_match_rate"),
+        total.alias("data_fields"), F.lit(ncandidates).alias("ncandidates"))
+
+
+# ---------------------------------------------------------------------------
+# Bag-of-words and n-gram counts
+# ---------------------------------------------------------------------------
+
+def bow_counts(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 2),
+               min_token_len: int = 1) -> DataFrame:
+    """(key, term, count) for word n-grams with n in ``ngram_range``."""
+    grams = F.concat(*[T.word_ngrams(F.col(text), n, min_token_len)
+                       for n in range(ngram_range[0], ngram_range[1] + 1)])
+    return df.select(F.col(key).alias("key"), F.explode(grams).alias("term")) \
+        .groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts_tfidf(counts: DataFrame, n_docs: Column, smooth_idf: bool = True) -> DataFrame:
+    """TF-IDF from (key, term, n) counts; idf smoothed or not, rows L2-normalised."""
+    dfreq = counts.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    idf = (F.log((n_docs + 1) / (F.col("df") + 1)) + 1) if smooth_idf else (F.log(n_docs / F.col("df")) + 1)
+    w = counts.join(dfreq, "term").withColumn("w", F.col("n") * idf)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
+    return w.select("key", "term", (F.col("w") / norm).alias("weight"))
+
+
+def fixed_vocab_tfidf(df: DataFrame, key: str, text: str, vocabulary: DataFrame, vocab_col: str) -> DataFrame:
+    """Counts restricted to a vocabulary (semi-join, vocabulary is small) followed by smoothed TF-IDF.
+    Documents are all rows of ``df``, including those without any vocabulary word."""
+    vocab = vocabulary.select(F.col(vocab_col).alias("term")).distinct()
+    counts = bow_counts(df, key, text, (1, 1), 2).join(vocab, "term", "left_semi")
+    n_docs = df.select(F.count(F.lit(1)).cast("double")).scalar()
+    return counts_tfidf(counts, n_docs, True)
+
+
+def gram_counts_table(df: DataFrame, key: str, grams: Column) -> DataFrame:
+    return df.select(F.col(key).alias("_k"), grams.alias("_g")) \
+        .select(F.col("_k").alias("key"), F.explode("_g").alias("gram")) \
+        .groupBy("key", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def keyword_fields(df: DataFrame, col: str, keywords: list[str]) -> DataFrame:
+    """Rows whose ``col`` contains any keyword (case-sensitive)."""
+    import re
+    return df.where(F.col(col).rlike("|".join(re.escape(k) for k in keywords)))

@@ -48,8 +48,12 @@ def char(x: str, n: int) -> str:
     return windows(f"regexp_replace({x}, '\\s\\s+', ' ', 'g')", n)
 
 
-def word_ngrams(x: str, n: int) -> str:
-    toks = f"regexp_extract_all(lower({x}), '\\b\\w\\w+\\b')"
+def word_tokens(x: str, min_len: int = 2) -> str:
+    return f"regexp_extract_all(lower({x}), '[\\pL\\pN_]{{{min_len},}}')"
+
+
+def word_ngrams(x: str, n: int, min_len: int = 2) -> str:
+    toks = word_tokens(x, min_len)
     if n == 1:
         return toks
     return (f"(CASE WHEN len({toks}) >= {n} THEN list_transform(range(1, len({toks}) - {n} + 2), "
@@ -65,29 +69,39 @@ def grams(x: str, analyzer: str, n: int) -> str:
 
 
 def tfidf_ctes(inputs_sql: str, matches_sql: str, analyzer: str = "char_wb", n: int = 3,
-               use_stemmer: bool = True, smooth: bool = True) -> str:
-    """CTEs ending in ``wn(side, key, term, weight)``; the two inputs select a column ``key``."""
+               use_stemmer: bool = True, smooth: bool = True, p: str = "") -> str:
+    """CTEs ending in ``{p}wn(side, key, term, weight)``; the two inputs select a column ``key``."""
     txt = stem(slug("key")) if use_stemmer else slug("key")
     idf = "ln((nd.n + 1) / (df + 1)) + 1" if smooth else "ln(nd.n / df) + 1"
     return f"""
-inp AS (SELECT DISTINCT key FROM ({inputs_sql}) WHERE key IS NOT NULL),
-mat AS (SELECT DISTINCT key FROM ({matches_sql}) WHERE key IS NOT NULL),
-docs AS (SELECT 'i' AS side, key, {txt} AS txt FROM inp UNION ALL SELECT 'm' AS side, key, {txt} AS txt FROM mat),
-toks AS (SELECT side, key, unnest({grams('txt', analyzer, n)}) AS term FROM docs),
-tf AS (SELECT side, key, term, count(*) AS tf FROM toks GROUP BY side, key, term),
-dfq AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
-nd AS (SELECT count(*)::DOUBLE AS n FROM docs),
-w AS (SELECT side, key, tf.term, tf * ({idf}) AS w FROM tf JOIN dfq ON tf.term = dfq.term CROSS JOIN nd),
-wn AS (SELECT side, key, term, w / sqrt(sum(w * w) OVER (PARTITION BY side, key)) AS weight FROM w)"""
+{p}inp AS (SELECT DISTINCT key FROM ({inputs_sql}) WHERE key IS NOT NULL),
+{p}mat AS (SELECT DISTINCT key FROM ({matches_sql}) WHERE key IS NOT NULL),
+{p}docs AS (SELECT 'i' AS side, key, {txt} AS txt FROM {p}inp
+            UNION ALL SELECT 'm' AS side, key, {txt} AS txt FROM {p}mat),
+{p}toks AS (SELECT side, key, unnest({grams('txt', analyzer, n)}) AS term FROM {p}docs),
+{p}tf AS (SELECT side, key, term, count(*) AS tf FROM {p}toks GROUP BY side, key, term),
+{p}dfq AS (SELECT term, count(*)::DOUBLE AS df FROM {p}tf GROUP BY term),
+{p}w AS (SELECT side, key, tf.term, tf * ({idf}) AS w FROM {p}tf tf JOIN {p}dfq dfq ON tf.term = dfq.term
+         CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM {p}docs) nd),
+{p}wn AS (SELECT side, key, term, w / sqrt(sum(w * w) OVER (PARTITION BY side, key)) AS weight FROM {p}w)"""
+
+
+def cosine_cte(p: str = "") -> str:
+    return f"""{p}cos AS (SELECT a.key AS input, b.key AS match, round(sum(a.weight * b.weight), 4) AS score
+        FROM {p}wn a JOIN {p}wn b ON a.term = b.term WHERE a.side = 'i' AND b.side = 'm' GROUP BY a.key, b.key
+        HAVING round(sum(a.weight * b.weight), 4) > 0)"""
+
+
+def topn_cte(n_top: int, p: str = "") -> str:
+    return f"""{p}top AS (SELECT input, match, score, rank::INTEGER AS rank FROM (
+        SELECT input, match, score, row_number() OVER (PARTITION BY input ORDER BY score DESC, match) AS rank
+        FROM {p}cos) WHERE rank <= {n_top})"""
 
 
 def tfidf_match_sql(inputs_sql: str, matches_sql: str, n_top: int = 5, **kw) -> str:
     return f"""WITH {tfidf_ctes(inputs_sql, matches_sql, **kw)},
-cos AS (SELECT a.key AS input, b.key AS match, round(sum(a.weight * b.weight), 4) AS score
-        FROM wn a JOIN wn b ON a.term = b.term WHERE a.side = 'i' AND b.side = 'm' GROUP BY a.key, b.key),
-ranked AS (SELECT input, match, score,
-           row_number() OVER (PARTITION BY input ORDER BY score DESC, match) AS rank FROM cos WHERE score > 0)
-SELECT input, rank::INTEGER AS rank, match, score FROM ranked WHERE rank <= {n_top}"""
+{cosine_cte()}, {topn_cte(n_top)}
+SELECT input, rank, match, score FROM top"""
 
 
 def norm_key(parent: str, child: str) -> str:
