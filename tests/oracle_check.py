@@ -27,6 +27,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+_DT = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date",
+       "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean", "FLOAT": "float", "SMALLINT": "smallint"}
+
+
+def duck_type(t: str) -> str:
+    if t.endswith("[]"):
+        return f"array<{duck_type(t[:-2])}>"
+    return _DT.get(t, t)
+
+
 def _norm(v, tol):
     if isinstance(v, float):
         if math.isnan(v):
@@ -79,11 +89,14 @@ def compare(spark, sf_dir: str, key: str, con) -> tuple[bool, str]:
         a, b = rows_of(srows, scols, 6), rows_of(drows, dcols, 6)
         diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
         msgs.append(f"VALUES differ e.g. {diff}")
-    stypes = [f.dataType.simpleString() for f in sdf.schema.fields]
-    dtypes = [str(t) for t in res.description and [d[1] for d in res.description]]
+    stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    dtypes = {d[0]: duck_type(str(d[1])) for d in res.description}
+    bad_t = {k: (stypes[k], dtypes[k]) for k in stypes if stypes[k] != dtypes.get(k)}
+    if bad_t:
+        msgs.append(f"TYPES {bad_t}")
     status = "OK" if ok else "FAIL"
     extra = "" if exact else " (float-tolerance only)"
-    return ok, f"{key}: {status}{extra} rows={len(srows)} {t1 - t0:.1f}s {'; '.join(msgs)} types={list(zip(scols, stypes))}"
+    return ok, f"{key}: {status}{extra} rows={len(srows)} {t1 - t0:.1f}s {'; '.join(msgs)}"
 
 
 def main():
