@@ -29,22 +29,24 @@ def daily_interpolate(df: DataFrame, key: str, ts: str, numeric: list[str], othe
     cal = rng.select(key, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias(ts))
     j = cal.join(df.select(key, ts, *numeric, *others), [key, ts], "left")
     back = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    fwd = Window.partitionBy(key).orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
+    # "next known value" as a growing frame over descending time (linear), not a
+    # shrinking unbounded-following frame (quadratic in the series length)
+    fwd = Window.partitionBy(key).orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
     day = F.datediff(F.col(ts), F.lit("1970-01-01"))
     out = j.withColumn("_day", day)
     cols = []
     for c in numeric:
         pd_ = F.last(F.when(F.col(c).isNotNull(), F.col("_day")), True).over(back)
         py = F.last(c, True).over(back)
-        nd = F.first(F.when(F.col(c).isNotNull(), F.col("_day")), True).over(fwd)
-        ny = F.first(c, True).over(fwd)
+        nd = F.last(F.when(F.col(c).isNotNull(), F.col("_day")), True).over(fwd)
+        ny = F.last(c, True).over(fwd)
         interp = F.when(F.col(c).isNotNull(), F.col(c)) \
             .when(pd_.isNull(), ny) \
             .when(nd.isNull(), py) \
             .otherwise(py + (ny - py) * (F.col("_day") - pd_) / (nd - pd_))
         cols.append(interp.cast("double").alias(c))
     for c in others:
-        cols.append(F.first(c, True).over(fwd).alias(c))
+        cols.append(F.last(c, True).over(fwd).alias(c))
     return out.select(key, ts, *cols)
 
 
