@@ -35,4 +35,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every binding module so they register themselves."""
-    from kestrel.plans import q_matching, q_models, q_recommend, q_scorecard, q_tables, q_timeseries  # noqa: F401
+    from kestrel.plans import q_matching, q_models, q_recommend, q_scorecard, q_sources, q_tables, q_timeseries  # noqa: F401
