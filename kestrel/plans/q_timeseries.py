@@ -121,3 +121,14 @@ def q_ljung_box(t: Tables):
 def q_series_select(t: Tables):
     """The first 2 x 2 nation series (by name) for a small-multiple display."""
     return TS.series_select(daily(t), "series_id", 4)
+
+
+@register("forecast_align", f"""WITH {MONTHLY_SQL},
+fc AS (SELECT series_id, (ts + INTERVAL 12 MONTH)::DATE AS ts, y AS forecast FROM ms)
+SELECT ms.series_id, ms.ts, fc.forecast, ms.y FROM fc RIGHT JOIN ms ON fc.series_id = ms.series_id AND fc.ts = ms.ts""")
+def q_forecast_align(t: Tables):
+    """Seasonal-naive forecasts (value 12 months earlier) aligned to every observed month."""
+    from kestrel.operators.relational import forecast_align
+    m = monthly(t)
+    fc = m.select("series_id", F.add_months("ts", 12).alias("ts"), F.col("y").alias("forecast"))
+    return forecast_align(fc, m, ["series_id", "ts"]).select("series_id", "ts", "forecast", "y")
