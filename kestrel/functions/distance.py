@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -323,11 +324,124 @@ def py_measure(name: str, a: str, b: str, q: int = 1) -> float:
     return fn(sa, sb)
 
 
+# ---------------------------------------------------------------------------
+# one input against a block of terms: dynamic programmes vectorised over the terms
+# ---------------------------------------------------------------------------
+
+def _encode(a, terms):
+    """Integer codes of the input and of the padded terms (pad = -1), term lengths."""
+    vocab: dict = {}
+    ca = np.array([vocab.setdefault(x, len(vocab)) for x in a], dtype=np.int64)
+    lens = np.array([len(t) for t in terms], dtype=np.int64)
+    width = int(lens.max()) if len(lens) else 0
+    mat = np.full((len(terms), width), -1, dtype=np.int64)
+    for k, t in enumerate(terms):
+        if len(t):
+            mat[k, :len(t)] = [vocab.setdefault(x, len(vocab)) for x in t]
+    return ca, mat, lens, len(vocab)
+
+
+def _np_linear(name: str, a, terms, gap: float = 1.0) -> np.ndarray:
+    """Levenshtein, Needleman-Wunsch, Smith-Waterman for one input vs many terms."""
+    ca, mat, lens, _ = _encode(a, terms)
+    n, width = mat.shape
+    j = np.arange(width + 1, dtype=float)
+    if name == "Levenshtein":
+        prev = np.tile(j, (n, 1))
+    elif name == "NeedlemanWunsch":
+        prev = np.tile(-j * gap, (n, 1))
+    else:
+        prev = np.zeros((n, width + 1))
+    for i, c in enumerate(ca, 1):
+        cur = np.empty_like(prev)
+        cur[:, 0] = i if name == "Levenshtein" else (-(i * gap) if name == "NeedlemanWunsch" else 0.0)
+        eq = (mat == c)
+        for k in range(1, width + 1):
+            if name == "Levenshtein":
+                cur[:, k] = np.minimum(np.minimum(prev[:, k] + 1, cur[:, k - 1] + 1), prev[:, k - 1] + ~eq[:, k - 1])
+            else:
+                v = np.maximum(np.maximum(prev[:, k - 1] + eq[:, k - 1], prev[:, k] - gap), cur[:, k - 1] - gap)
+                cur[:, k] = np.maximum(v, 0.0) if name == "SmithWaterman" else v
+        prev = cur
+    return prev[np.arange(n), lens]
+
+
+def _np_gotoh(a, terms, go: float = 1.0, ge: float = 0.4) -> np.ndarray:
+    ca, mat, lens, _ = _encode(a, terms)
+    n, width = mat.shape
+    ninf = -np.inf
+    j = np.arange(width + 1, dtype=float)
+    d = np.full((n, width + 1), ninf)
+    d[:, 0] = 0.0
+    p = np.full((n, width + 1), ninf)
+    qq = np.tile(-go - ge * (j - 1), (n, 1))
+    qq[:, 0] = ninf
+    for i, c in enumerate(ca, 1):
+        eq = (mat == c).astype(float)
+        dn, pn, qn = np.empty_like(d), np.empty_like(p), np.empty_like(qq)
+        dn[:, 0], pn[:, 0], qn[:, 0] = ninf, -go - ge * (i - 1), ninf
+        pn[:, 1:] = np.maximum(d[:, 1:] - go, p[:, 1:] - ge)
+        dn[:, 1:] = np.maximum(np.maximum(d[:, :-1], p[:, :-1]), qq[:, :-1]) + eq
+        for k in range(1, width + 1):
+            qn[:, k] = np.maximum(dn[:, k - 1] - go, qn[:, k - 1] - ge)
+        d, p, qq = dn, pn, qn
+    idx = np.arange(n)
+    return np.maximum(np.maximum(d[idx, lens], p[idx, lens]), qq[idx, lens])
+
+
+def _np_damerau(a, terms) -> np.ndarray:
+    """Unrestricted Damerau-Levenshtein of one input against many terms."""
+    ca, mat, lens, nv = _encode(a, terms)
+    n, width = mat.shape
+    la = len(ca)
+    inf = (la + lens).astype(float)
+    d = np.zeros((n, la + 2, width + 2))
+    d[:, 0, :] = inf[:, None]
+    d[:, :, 0] = inf[:, None]
+    d[:, 1:, 1] = np.arange(la + 1)[None, :]
+    d[:, 1, 1:] = np.arange(width + 1)[None, :]
+    last = np.zeros(nv + 1, dtype=np.int64)  # last row of each code in the input; index nv = padding
+    codes = np.where(mat >= 0, mat, nv)
+    rows = np.arange(n)
+    for i in range(1, la + 1):
+        db = np.zeros(n, dtype=np.int64)
+        for k in range(1, width + 1):
+            i1 = last[codes[:, k - 1]]
+            j1 = db
+            match = mat[:, k - 1] == ca[i - 1]
+            cost = np.where(match, 0.0, 1.0)
+            trans = d[rows, i1, j1] + (i - i1 - 1) + 1 + (k - j1 - 1)
+            d[:, i + 1, k + 1] = np.minimum(np.minimum(d[:, i, k] + cost, d[:, i + 1, k] + 1),
+                                            np.minimum(d[:, i, k + 1] + 1, trans))
+            db = np.where(match, k, db)
+        last[ca[i - 1]] = i
+    return d[rows, la + 1, lens + 1]
+
+
+def block_scores(name: str, a: str, terms: list[str], q: int = 1) -> list[float]:
+    """Scores of one input against a block of terms; the dynamic programmes run once
+    for the whole block (numpy over the terms), other measures pair by pair."""
+    if name in ("Levenshtein", "NeedlemanWunsch", "SmithWaterman", "Gotoh", "DamerauLevenshtein") and len(terms):
+        sa = _seq(a, q)
+        st = [_seq(t, q) for t in terms]
+        if name == "Gotoh":
+            out = _np_gotoh(sa, st)
+        elif name == "DamerauLevenshtein":
+            out = _np_damerau(sa, st)
+        else:
+            out = _np_linear(name, sa, st)
+        if name in ("Levenshtein", "DamerauLevenshtein"):  # identical / empty shortcuts of a distance
+            out = np.array([0.0 if list(sa) == list(t) else (float(max(len(sa), len(t))) if not len(sa) or not len(t)
+                                                          else v) for t, v in zip(st, out)])
+        return [float(v) for v in out]
+    return [py_measure(name, a, t, q) for t in terms]
+
+
 def block_scores_udf(name: str, q: int = 1):
     """pandas UDF: (input string, array of terms) -> array of scores, one Arrow batch at a time."""
 
     @F.pandas_udf(TY.ArrayType(TY.DoubleType()))
     def scores(inputs: pd.Series, terms: pd.Series) -> pd.Series:
-        return pd.Series([[py_measure(name, a, t, q) for t in ts] for a, ts in zip(inputs, terms)])
+        return pd.Series([block_scores(name, a, list(ts), q) for a, ts in zip(inputs, terms)])
 
     return scores

@@ -117,10 +117,12 @@ w AS (SELECT *, round(greatest(events, 0.5) / (SELECT sum(events) FROM g) * 100,
 @register("woe", f"""WITH {SC_SQL}, {WOE_SQL}
 SELECT l_quantity, count, events, non_events, events_pct::DOUBLE AS events_pct, non_events_pct::DOUBLE AS non_events_pct,
   event_rate_pct, round(ln(non_events_pct / events_pct), 4) AS woe FROM w
-UNION ALL SELECT 'Total', sum(count)::BIGINT, sum(events)::BIGINT, sum(non_events)::BIGINT, sum(events_pct)::DOUBLE,
-  sum(non_events_pct)::DOUBLE, round(sum(events) / sum(count) * 100, 2), 0.0 FROM w""")
+UNION ALL SELECT 'Total', sum(count)::BIGINT, sum(events)::BIGINT, sum(non_events)::BIGINT,
+  round(sum(events_pct)::DOUBLE, 6), round(sum(non_events_pct)::DOUBLE, 6), round(sum(events) / sum(count) * 100, 2), 0.0
+FROM w""")
 def q_woe(t: Tables):
-    return SC.woe(sc(t).where(F.col("sample") == "train"), "l_quantity", "response")
+    out = SC.woe(sc(t).where(F.col("sample") == "train"), "l_quantity", "response")
+    return out.withColumn("events_pct", F.round("events_pct", 6)).withColumn("non_events_pct", F.round("non_events_pct", 6))
 
 
 @register("woe_apply", f"""WITH {SC_SQL},
@@ -139,16 +141,24 @@ def q_woe_apply(t: Tables):
     return out.select("l_orderkey", "l_linenumber", "l_quantity_woe", "l_linestatus_woe")
 
 
+def _r12(df):
+    """Shares and PSI terms rounded to 12 places (float sums differ in the last bits)."""
+    for c in ("percent_sample_1", "percent_sample_2", "psi"):
+        df = df.withColumn(c, F.round(c, 12))
+    return df
+
+
 def _psi_sql(counts: str, key: str) -> str:
     return f"""c AS ({counts}),
 p AS (SELECT {key}, count_sample_1, count_sample_2,
   CASE WHEN count_sample_1 > 0 THEN count_sample_1 / (SELECT sum(count_sample_1) FROM c) END AS percent_sample_1,
   CASE WHEN count_sample_2 > 0 THEN count_sample_2 / (SELECT sum(count_sample_2) FROM c) END AS percent_sample_2 FROM c),
 q AS (SELECT *, (percent_sample_1 - percent_sample_2) * ln(percent_sample_1 / percent_sample_2) AS psi FROM p)
-SELECT {key}, count_sample_1, count_sample_2, coalesce(percent_sample_1, 0) AS percent_sample_1,
-  coalesce(percent_sample_2, 0) AS percent_sample_2, coalesce(psi, 0) AS psi FROM q
-UNION ALL SELECT 'total', sum(count_sample_1)::BIGINT, sum(count_sample_2)::BIGINT, coalesce(sum(percent_sample_1), 0),
-  coalesce(sum(percent_sample_2), 0), coalesce(sum(psi), 0) FROM q"""
+SELECT {key}, count_sample_1, count_sample_2, round(coalesce(percent_sample_1, 0), 12) AS percent_sample_1,
+  round(coalesce(percent_sample_2, 0), 12) AS percent_sample_2, round(coalesce(psi, 0), 12) AS psi FROM q
+UNION ALL SELECT 'total', sum(count_sample_1)::BIGINT, sum(count_sample_2)::BIGINT,
+  round(coalesce(sum(percent_sample_1), 0), 12), round(coalesce(sum(percent_sample_2), 0), 12),
+  round(coalesce(sum(psi), 0), 12) FROM q"""
 
 
 @register("psi_categorical", f"""WITH {SC_SQL}, {_psi_sql('''SELECT coalesce(a.v, b.v) AS l_quantity,
@@ -158,7 +168,8 @@ UNION ALL SELECT 'total', sum(count_sample_1)::BIGINT, sum(count_sample_2)::BIGI
                                                              'l_quantity')}""")
 def q_psi_categorical(t: Tables):
     s = sc(t)
-    return SC.psi_categorical(s.where(F.col("sample") == "train"), s.where(F.col("sample") == "test"), "l_quantity")
+    return _r12(SC.psi_categorical(s.where(F.col("sample") == "train"), s.where(F.col("sample") == "test"),
+                                   "l_quantity"))
 
 
 _RNG = "'(' || round(edges[bin + 1], 2)::VARCHAR || ', ' || round(edges[bin + 2], 2)::VARCHAR || ')'"
@@ -174,8 +185,8 @@ r AS (SELECT {_RNG} AS l_extendedprice_bin_rng, sample FROM b),
           'l_extendedprice_bin_rng')}""")
 def q_psi_joint(t: Tables):
     s = sc(t)
-    return SC.psi_continuous(s.where(F.col("sample") == "train"), s.where(F.col("sample") == "test"),
-                             "l_extendedprice", 10, "jointly")
+    return _r12(SC.psi_continuous(s.where(F.col("sample") == "train"), s.where(F.col("sample") == "test"),
+                                  "l_extendedprice", 10, "jointly"))
 
 
 @register("psi_continuous_ref", f"""WITH {SC_SQL},
@@ -191,8 +202,8 @@ c2 AS (SELECT bin, count(*) AS count_sample_2 FROM b2 WHERE bin IS NOT NULL GROU
   coalesce(count_sample_2, 0) AS count_sample_2 FROM c1 FULL JOIN c2 USING (bin)''', 'l_extendedprice_bin_rng')}""")
 def q_psi_ref(t: Tables):
     s = sc(t)
-    return SC.psi_continuous(s.where(F.col("sample") == "train"), s.where(F.col("sample") == "test"),
-                             "l_extendedprice", 10, "reference")
+    return _r12(SC.psi_continuous(s.where(F.col("sample") == "train"), s.where(F.col("sample") == "test"),
+                                  "l_extendedprice", 10, "reference"))
 
 
 def _auc_sql(src: str, group: str, score: str, label: str) -> str:
@@ -220,9 +231,9 @@ _CORR = ["l_quantity", "l_discount", "l_extendedprice", "l_tax"]
 
 
 @register("correlation_matrix", f"""WITH {SC_SQL} {' UNION ALL '.join(
-    f"SELECT '{a}' AS var_1, '{b}' AS var_2, corr({a}, {b}) AS corr FROM sc" for a in _CORR for b in _CORR)}""")
+    f"SELECT '{a}' AS var_1, '{b}' AS var_2, round(corr({a}, {b}), 12) AS corr FROM sc" for a in _CORR for b in _CORR)}""")
 def q_correlation(t: Tables):
-    return SC.correlation_matrix(sc(t), _CORR)
+    return SC.correlation_matrix(sc(t), _CORR).withColumn("corr", F.round("corr", 12))
 
 
 @register("stratified_split")
@@ -258,11 +269,12 @@ def q_impute(t: Tables):
 
 @register("standardize", f"""WITH {SC_SQL}, m AS (SELECT avg(l_quantity) AS mq, stddev_samp(l_quantity) AS sq,
   avg(l_extendedprice) AS mp, stddev_samp(l_extendedprice) AS sp FROM sc WHERE sample = 'train')
-SELECT l_orderkey, l_linenumber, sample, (l_quantity - mq) / sq AS l_quantity, (l_extendedprice - mp) / sp AS l_extendedprice
-FROM sc, m""")
+SELECT l_orderkey, l_linenumber, sample, round((l_quantity - mq) / sq, 9) AS l_quantity,
+  round((l_extendedprice - mp) / sp, 9) AS l_extendedprice FROM sc, m""")
 def q_standardize(t: Tables):
     s = sc(t).select("l_orderkey", "l_linenumber", "sample", "l_quantity", "l_extendedprice")
-    return SC.standardize(s, ["l_quantity", "l_extendedprice"], "sample")
+    out = SC.standardize(s, ["l_quantity", "l_extendedprice"], "sample")
+    return out.withColumn("l_quantity", F.round("l_quantity", 9)).withColumn("l_extendedprice", F.round("l_extendedprice", 9))
 
 
 @register("monotone_fold", f"""WITH {SC_SQL}, e AS ({_edges_sql('sc', 'l_discount', 10)}),

@@ -208,13 +208,13 @@ def q_null_default(t: Tables):
                     F.coalesce("toxic", F.lit(0)).alias("toxic"), F.coalesce("lang", F.lit("NA")).alias("lang"))
 
 
-@register("boxcox", """SELECT o_orderkey, ln(o_totalprice) AS bc_0, (pow(o_totalprice, 0.5) - 1) / 0.5 AS bc_half,
-  pow(((pow(o_totalprice, 0.5) - 1) / 0.5) * 0.5 + 1, 2.0) AS inv_half FROM orders""")
+@register("boxcox", """SELECT o_orderkey, round(ln(o_totalprice), 9) AS bc_0, round((pow(o_totalprice, 0.5) - 1) / 0.5, 9) AS bc_half,
+  round(pow(((pow(o_totalprice, 0.5) - 1) / 0.5) * 0.5 + 1, 2.0), 6) AS inv_half FROM orders""")
 def q_boxcox(t: Tables):
     o = t.orders
     bc = R.boxcox("o_totalprice", 0.5)
-    return o.select("o_orderkey", R.boxcox("o_totalprice", 0).alias("bc_0"), bc.alias("bc_half"),
-                    R.inv_boxcox(bc, 0.5).alias("inv_half"))
+    return o.select("o_orderkey", F.round(R.boxcox("o_totalprice", 0), 9).alias("bc_0"), F.round(bc, 9).alias("bc_half"),
+                    F.round(R.inv_boxcox(bc, 0.5), 6).alias("inv_half"))
 
 
 @register("boxcox_lambda")
@@ -460,10 +460,11 @@ p AS (SELECT variable, value, cluster, count(*) AS count FROM l GROUP BY ALL),
 p2 AS (SELECT * FROM p UNION ALL SELECT variable, value, 'SAMPLE', sum(count)::BIGINT FROM p GROUP BY variable, value),
 o AS (SELECT variable, value, cluster, count, count / sum(count) OVER (PARTITION BY variable, cluster) * 100 AS pct
       FROM p2)
-SELECT * FROM o UNION ALL SELECT 'Total', 'Total', cluster, sum(count)::BIGINT, sum(pct) FROM o
+SELECT variable, value, cluster, count, round(pct, 9) AS pct FROM o
+UNION ALL SELECT 'Total', 'Total', cluster, sum(count)::BIGINT, round(sum(pct), 9) FROM o
   WHERE variable = 'c_mktsegment' GROUP BY cluster""")
 def q_cluster_categorical(t: Tables):
-    return A.cluster_categorical(clustered(t), "cluster", ["c_mktsegment", "bal_sign"])
+    return A.cluster_categorical(clustered(t), "cluster", ["c_mktsegment", "bal_sign"]).withColumn("pct", F.round("pct", 9))
 
 
 @register("cluster_continuous", f"""WITH {CLUSTER_SQL}
@@ -523,10 +524,10 @@ def q_totals_distribution(t: Tables):
 
 @register("histogram", """WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
 b AS (SELECT least(floor((o_totalprice - lo) * 20 / (hi - lo)), 19)::INTEGER AS bin, lo, hi FROM orders, r)
-SELECT bin, lo + bin * (hi - lo) / 20 AS low, lo + (bin + 1) * (hi - lo) / 20 AS high, count(*) AS n
+SELECT bin, round(lo + bin * (hi - lo) / 20, 6) AS low, round(lo + (bin + 1) * (hi - lo) / 20, 6) AS high, count(*) AS n
 FROM b GROUP BY bin, lo, hi""")
 def q_histogram(t: Tables):
-    return A.histogram(t.orders, "o_totalprice", 20)
+    return A.histogram(t.orders, "o_totalprice", 20).withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
 
 
 @register("topk", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10""")
