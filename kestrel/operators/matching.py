@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions import text as T
 from kestrel.operators.indexing import dense_index
+from kestrel.session import cut_lineage
 
 
 class StringNotFound(Exception):
@@ -113,8 +114,10 @@ def tfidf_match(inputs: DataFrame, matches: DataFrame, input_col: str, match_col
                 smooth_idf: bool = True) -> DataFrame:
     """Top-n TF-IDF cosine candidates: (input, rank, match, score)."""
     docs = match_documents(inputs, matches, input_col, match_col, use_stemmer)
-    cos = sparse_cosine(tfidf_weights(docs, analyzer, ngrams, smooth_idf))
-    return top_n(cos, ncandidates).select("input", "rank", "match", "score")
+    # both sides of the cosine join read the weights: materialise them once (reliable
+    # checkpoint) instead of recomputing tokens, document frequencies and norms per side
+    weights = cut_lineage(tfidf_weights(docs, analyzer, ngrams, smooth_idf))
+    return top_n(sparse_cosine(weights), ncandidates).select("input", "rank", "match", "score")
 
 
 def mapping_response(candidates: DataFrame, inputs: DataFrame, input_col: str,
