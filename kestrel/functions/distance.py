@@ -418,6 +418,51 @@ def _np_damerau(a, terms) -> np.ndarray:
     return d[rows, la + 1, lens + 1]
 
 
+def _np_jaro(a, terms, winkler: bool) -> np.ndarray:
+    """Jaro / Jaro-Winkler of one input against many terms: the greedy in-window
+    matching runs once per input character over all terms at the same time."""
+    ca, mat, lens, _ = _encode(a, terms)
+    n, width = mat.shape
+    l1 = len(ca)
+    out = np.zeros(n)
+    if l1 == 0 or width == 0:
+        return out
+    rng = np.maximum(np.maximum(l1, lens) // 2 - 1, 0)
+    f1 = np.zeros((n, l1), dtype=bool)
+    f2 = np.zeros((n, width), dtype=bool)
+    pos = np.arange(width)[None, :]
+    for i in range(l1):
+        lo = np.maximum(0, i - rng)[:, None]
+        hi = np.minimum(i + rng, lens - 1)[:, None]
+        cand = ~f2 & (mat == ca[i]) & (pos >= lo) & (pos <= hi)
+        rows = np.nonzero(cand.any(axis=1))[0]
+        cols = cand[rows].argmax(axis=1)
+        f2[rows, cols] = True
+        f1[rows, i] = True
+    common = f1.sum(axis=1)
+    k = min(l1, width)
+    m1 = np.full((n, l1), -2)
+    r, c = np.nonzero(f1)
+    m1[r, (np.cumsum(f1, axis=1) - 1)[r, c]] = ca[c]
+    m2 = np.full((n, width), -3)
+    r, c = np.nonzero(f2)
+    m2[r, (np.cumsum(f2, axis=1) - 1)[r, c]] = mat[r, c]
+    trans = ((m1[:, :k] != m2[:, :k]) & (np.arange(k)[None, :] < common[:, None])).sum(axis=1) // 2
+    ok = common > 0
+    cm = np.where(ok, common, 1)
+    w = np.where(ok, (common / l1 + common / np.maximum(lens, 1) + (common - trans) / cm) / 3, 0.0)
+    if winkler:
+        lim = np.minimum(np.minimum(lens, l1), 4)
+        run = np.ones(n, dtype=bool)
+        pref = np.zeros(n)
+        for p in range(min(4, l1, width)):
+            run &= (mat[:, p] == ca[p]) & (p < lim)
+            pref += run
+        w = np.where(w > 0.7, w + pref * 0.1 * (1.0 - w), w)
+    out[:] = w
+    return out
+
+
 def block_scores(name: str, a: str, terms: list[str], q: int = 1) -> list[float]:
     """Scores of one input against a block of terms; the dynamic programmes run once
     for the whole block (numpy over the terms), other measures pair by pair."""
@@ -434,6 +479,12 @@ def block_scores(name: str, a: str, terms: list[str], q: int = 1) -> list[float]
             out = np.array([0.0 if list(sa) == list(t) else (float(max(len(sa), len(t))) if not len(sa) or not len(t)
                                                           else v) for t, v in zip(st, out)])
         return [float(v) for v in out]
+    if name in ("Jaro", "JaroWinkler") and len(terms):
+        sa = _seq(a, q)
+        st = [_seq(t, q) for t in terms]
+        out = _np_jaro(sa, st, name == "JaroWinkler")
+        return [1.0 if list(sa) == list(t) else (0.0 if not len(sa) or not len(t) else float(v))
+                for t, v in zip(st, out)]
     return [py_measure(name, a, t, q) for t in terms]
 
 

@@ -57,11 +57,12 @@ def test_native_matches_python(spark):
             assert (r.match, r.score) == (scores[r.rank - 1][1], scores[r.rank - 1][0])
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abcde", max_size=9), st.lists(st.text(alphabet="abcde", max_size=9), min_size=1, max_size=6),
        st.sampled_from([1, 2]))
 def test_block_dp_equals_pairwise(a, terms, q):
-    for name in ("Levenshtein", "NeedlemanWunsch", "SmithWaterman", "Gotoh", "DamerauLevenshtein"):
+    for name in ("Levenshtein", "NeedlemanWunsch", "SmithWaterman", "Gotoh", "DamerauLevenshtein", "Jaro",
+                 "JaroWinkler"):
         got = D.block_scores(name, a, terms, q)
         ref = [D.py_measure(name, a, t, q) for t in terms]
         assert all(abs(x - y) < 1e-9 for x, y in zip(got, ref)), (name, a, terms, got, ref)
