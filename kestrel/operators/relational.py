@@ -197,18 +197,35 @@ def conversion(txns: DataFrame, items: DataFrame, window_days: int = 120) -> Dat
 
     ``txns``: transaction_id, customer_id, order_date, watched (array of products).
     ``items``: transaction_id, customer_id, order_date, product_id.
-    Watched products are exploded so the join is an equi-join on (customer, product)
-    with a range filter; the winner per transaction is ``min(struct(date, txn))``.
+
+    No pair join: watch events and purchases of each (customer, product) are unioned
+    and scanned newest-first with the skew-proof prefix kernel; the running minimum
+    of (purchase date, transaction) over strictly later purchases is the next purchase
+    after each watch. A customer-product with many rows is split across partitions
+    like any other hot key. The winner per transaction is the minimum over its
+    watched products (ties on the date go to the smaller transaction id).
     """
-    w = txns.select("transaction_id", "customer_id", "order_date", F.explode("watched").alias("product_id"))
-    it = items.select(F.col("transaction_id").alias("conv_txn"), "customer_id",
-                      F.col("order_date").alias("conv_date"), "product_id")
-    j = w.join(it, ["customer_id", "product_id"]).where(
-        (F.col("conv_date") > F.col("order_date")) &
-        (F.col("conv_date") <= F.date_add(F.col("order_date"), window_days)))
-    best = j.groupBy("transaction_id").agg(F.min(F.struct("conv_date", "conv_txn")).alias("b"))
-    return best.select("transaction_id", F.col("b.conv_date").alias("converted_date"),
-                       F.col("b.conv_txn").alias("converted_txn_id"))
+    from kestrel.operators.prefix import prefix_agg
+    day = F.datediff(F.col("order_date"), F.lit("1970-01-01")).cast("long")
+    w = txns.select("transaction_id", "customer_id", "order_date", F.explode("watched").alias("product_id")) \
+        .select("customer_id", "product_id", day.alias("_d"), F.lit(1).alias("_kind"),
+                F.col("transaction_id").alias("_txn"), F.lit(None).cast("long").alias("_code"))
+    # purchase code = day * 2^40 + transaction id: ordering by the code orders by (day, id)
+    # newest-first scan with watches (kind 1) ahead of purchases (kind 0) of the same day,
+    # so a watch only sees strictly later purchases
+    p = items.select("customer_id", "product_id", day.alias("_d"), F.lit(0).alias("_kind"),
+                     F.col("transaction_id").alias("_txn"),
+                     (day * (1 << 40) + F.col("transaction_id").cast("long")).alias("_code"))
+    ev = w.unionByName(p)
+    nxt = prefix_agg(ev, ["customer_id", "product_id"], ["_d", "_kind", "_txn"], [("_next", "_code", "min")],
+                     exclusive=True, descending=True)
+    hits = nxt.where((F.col("_kind") == 1) & F.col("_next").isNotNull()) \
+        .withColumn("_nd", F.shiftright("_next", 40)) \
+        .where((F.col("_nd") > F.col("_d")) & (F.col("_nd") <= F.col("_d") + window_days))
+    best = hits.groupBy(F.col("_txn").alias("transaction_id")).agg(F.min("_next").alias("_b"))
+    return best.select("transaction_id",
+                       F.date_add(F.lit("1970-01-01").cast("date"), F.shiftright("_b", 40).cast("int")).alias("converted_date"),
+                       (F.col("_b") - F.shiftleft(F.shiftright("_b", 40), 40)).alias("converted_txn_id"))
 
 
 def forecast_align(forecast: DataFrame, observed: DataFrame, on: list[str]) -> DataFrame:

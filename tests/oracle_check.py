@@ -82,7 +82,8 @@ def compare(spark, sf_dir: str, key: str, con) -> tuple[bool, str]:
     if len(srows) != len(drows):
         ok = False
         msgs.append(f"ROWS spark={len(srows)} duck={len(drows)}")
-    exact = rows_of(srows, scols, None) == rows_of(drows, dcols, None)
+    # exact: compare value text, so -0.0 vs 0.0 or last-bit float differences show up
+    exact = [repr(r) for r in rows_of(srows, scols, None)] == [repr(r) for r in rows_of(drows, dcols, None)]
     loose = rows_of(srows, scols, 6) == rows_of(drows, dcols, 6)
     if not loose:
         ok = False
