@@ -44,7 +44,8 @@ def q_scan_dataset(t: Tables):
 
 
 @register("load_batches", """SELECT l_orderkey, l_linenumber, l_quantity, year(l_shipdate)::INTEGER AS batch FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate) AS rn FROM lineitem) WHERE rn = 1""")
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_quantity) AS rn FROM lineitem)
+  WHERE rn = 1""")
 def q_load_batches(t: Tables):
     """Lines dumped in yearly batches, all batches read back, one row per order (the first line)."""
     path = FS.scratch_path(t.spark, "batches")
@@ -53,7 +54,7 @@ def q_load_batches(t: Tables):
     FS.dump_batches(li, path, "batch")
     years = [r[0] for r in li.select("batch").distinct().collect()]
     out = FS.load_batches(t.spark, [f"{path}/batch={y}" for y in years], key=["l_orderkey"],
-                          order_by=["l_linenumber", "l_shipdate"], base_path=path)
+                          order_by=["l_linenumber", "l_shipdate", "l_quantity"], base_path=path)
     return out.select("l_orderkey", "l_linenumber", "l_quantity", F.col("batch").cast("int").alias("batch"))
 
 
