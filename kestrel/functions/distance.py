@@ -42,6 +42,33 @@ def gram_counts(col: Column, q: int) -> Column:
     return F.map_from_arrays(d, F.transform(d, lambda x: F.size(F.filter(g, lambda y: y == x))))
 
 
+def gram_tags(col: Column, q: int) -> Column:
+    """The q-gram multiset as a set: the k-th occurrence of gram g becomes "g<SOH>k".
+    Multiset intersection sizes then come from ``array_intersect`` (hash based, no
+    per-pair map scans)."""
+    from kestrel.functions.text import let
+    return let(qgrams(col, q), lambda g: F.transform(
+        g, lambda x, i: F.concat(x, F.lit("\u0001"), F.size(F.filter(F.slice(g, 1, i + 1), lambda y: y == x))
+                                 .cast("string"))))
+
+
+def token_similarity_tags(name: str, ta: Column, tb: Column, same: Column) -> Column:
+    """Multiset measures from tagged gram sets (see ``gram_tags``)."""
+    inter = F.size(F.array_intersect(ta, tb)).cast("double")
+    na, nb = F.size(ta).cast("double"), F.size(tb).cast("double")
+    if name == "Overlap":
+        v = inter / F.least(na, nb)
+    elif name == "Cosine":
+        v = inter / F.sqrt(na * nb)
+    elif name in ("Jaccard", "Tversky"):
+        v = inter / (na + nb - inter)
+    elif name == "Sorensen":
+        v = 2 * inter / (na + nb)
+    else:
+        raise ValueError(name)
+    return F.when(same, F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(v)
+
+
 def _total(m: Column) -> Column:
     return F.aggregate(F.map_values(m), F.lit(0), lambda a, v: a + v)
 

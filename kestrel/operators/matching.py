@@ -160,7 +160,7 @@ def term_blocks(terms: DataFrame, term_col: str, algorithm: str, q: int, block_s
     from kestrel.functions import distance as DI
     base = terms.select(F.col(term_col).alias("term")).where(F.col("term").isNotNull()).distinct()
     idx = dense_index(base, ["term"])
-    item = F.struct("term", DI.gram_counts(F.col("term"), q).alias("grams")) if algorithm in DI.TOKEN \
+    item = F.struct("term", DI.gram_tags(F.col("term"), q).alias("grams")) if algorithm in DI.TOKEN \
         else F.struct("term")
     return idx.groupBy(F.floor(F.col("idx") / block_size).alias("block")) \
         .agg(F.collect_list(item).alias("terms"))
@@ -190,10 +190,10 @@ def textdist_match(inputs: DataFrame, terms: DataFrame, input_col: str, term_col
     rows = rows.join(blocks, "block")
     a = F.col("input")
     if algorithm in DI.TOKEN:
-        rows = rows.withColumn("_ga", DI.gram_counts(a, ngrams))
+        rows = rows.withColumn("_ga", DI.gram_tags(a, ngrams))
         ga = F.col("_ga")
         scored = F.transform("terms", lambda t: F.struct(
-            DI.token_similarity(algorithm, ga, t["grams"], a == t["term"]).alias("s"), t["term"].alias("term")))
+            DI.token_similarity_tags(algorithm, ga, t["grams"], a == t["term"]).alias("s"), t["term"].alias("term")))
     elif algorithm in ("Hamming", "Levenshtein") and ngrams == 1:
         fn = DI.hamming if algorithm == "Hamming" else DI.levenshtein
         scored = F.transform("terms", lambda t: F.struct(fn(a, t["term"]).alias("s"), t["term"].alias("term")))
