@@ -292,10 +292,16 @@ def mapping_validation(candidates: DataFrame, truth: DataFrame, ncandidates: int
 
 def bow_counts(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 2),
                min_token_len: int = 1) -> DataFrame:
-    """(key, term, count) for word n-grams with n in ``ngram_range``."""
-    grams = F.concat(*[T.word_ngrams(F.col(text), n, min_token_len)
-                       for n in range(ngram_range[0], ngram_range[1] + 1)])
-    return df.select(F.col(key).alias("key"), F.explode(grams).alias("term")) \
+    """(key, term, count) for word n-grams with n in ``ngram_range``: tokens by a regex,
+    n-grams of two or more words by Spark ML's ``NGram`` (JVM, one pass per n)."""
+    from pyspark.ml.feature import NGram
+    tok = df.select(F.col(key).alias("key"), T.word_tokens(F.col(text), min_token_len).alias("_g1"))
+    cols = []
+    for n in range(ngram_range[0], ngram_range[1] + 1):
+        if n > 1:
+            tok = NGram(n=n, inputCol="_g1", outputCol=f"_g{n}").transform(tok)
+        cols.append(f"_g{n}")
+    return tok.select("key", F.explode(F.concat(*cols)).alias("term")) \
         .groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
