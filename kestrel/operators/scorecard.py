@@ -35,13 +35,48 @@ def quantile_edges(df: DataFrame, col: str, bins: int = 10, group_cols: list[str
     g = group_cols or []
     probs = [i / bins for i in range(bins + 1)]
     x = F.col(col).cast("double")
-    q = F.percentile_approx(x, probs, accuracy) if accuracy else F.percentile(x, F.array(*map(F.lit, probs)))
-    return df.where(x.isNotNull()).groupBy(*g).agg(F.array_distinct(q).alias("_edges"))
+    if accuracy:
+        q = F.percentile_approx(x, probs, accuracy)
+        return df.where(x.isNotNull()).groupBy(*g).agg(F.array_distinct(q).alias("_edges"))
+    return exact_quantiles(df, col, probs, g).select(*g, F.array_distinct("_q").alias("_edges"))
 
 
-def bin_of(x: Column, edges: Column) -> Column:
-    """Right-closed bin index; the minimum falls in bin 0; null outside the edges."""
-    k = F.size(F.filter(edges, lambda e: e < x)) - 1
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_cols: list[str] | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles per group without merging a value map in
+    one task: distinct (group, value) counts, a skew-proof prefix count gives each
+    value's rank range, and only the rows holding a target rank (two per probability)
+    survive. q = v[lo] + (v[hi] - v[lo]) * (h - lo), h = p (n - 1)."""
+    g = group_cols or []
+    x = F.col(col).cast("double")
+    d = df.where(x.isNotNull()).groupBy(*g, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    pre = prefix_agg(d, g, ["_v"], [("_cb", "_c", "sum")], exclusive=True)
+    sizes = d.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    j = pre.join(F.broadcast(sizes), g) if g else pre.withColumn("_n", d.select(F.sum("_c")).scalar())
+    targets = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        for side, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            hit = (pos >= F.col("_cb")) & (pos < F.col("_cb") + F.col("_c"))
+            targets.append(F.when(hit, F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), F.col("_v").alias("v"),
+                                                 h.alias("h"))))
+    hits = j.select(*g, F.explode(F.filter(F.array(*targets), lambda t: t.isNotNull())).alias("t")).select(*g, "t.*")
+    per = hits.groupBy(*g, "i").agg(F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("vlo"),
+                                    F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("vhi"),
+                                    F.first("h").alias("h"))
+    val = F.col("vlo") + (F.col("vhi") - F.col("vlo")) * (F.col("h") - F.floor("h"))
+    return per.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("i", val.alias("q")))).alias("_s")) \
+        .select(*g, F.transform("_s", lambda e: e["q"]).alias("_q"))
+
+
+def bin_of(x: Column, edges: Column, max_edges: int | None = None) -> Column:
+    """Right-closed bin index; the minimum falls in bin 0; null outside the edges.
+    With ``max_edges`` known the count of edges below x is a plain sum of comparisons
+    (code-generated) instead of a lambda over the array."""
+    if max_edges:
+        below = [F.when(F.try_element_at(edges, F.lit(i)) < x, 1).otherwise(0) for i in range(1, max_edges + 1)]
+        k = sum(below[1:], below[0]) - 1
+    else:
+        k = F.size(F.filter(edges, lambda e: e < x)) - 1
     return F.when(x.isNull() | (x < F.element_at(edges, 1)) | (x > F.element_at(edges, -1)), F.lit(None)) \
         .otherwise(F.greatest(k, F.lit(0)))
 
@@ -61,7 +96,7 @@ def quantile_bins(df: DataFrame, col: str, bins: int = 10, rounding: int = 2,
     e = edges if edges is not None else quantile_edges(df, col, bins, g)
     j = df.join(F.broadcast(e), g, "left") if g else df.withColumn("_edges", e.select("_edges").scalar())
     x = F.col(col).cast("double")
-    b = bin_of(x, F.col("_edges"))
+    b = bin_of(x, F.col("_edges"), bins + 1)
     low = F.round(F.element_at(F.col("_edges"), b + 1), rounding)
     upp = F.round(F.element_at(F.col("_edges"), b + 2), rounding)
     return j.withColumn(f"{col}_bin", b.cast("int")) \
