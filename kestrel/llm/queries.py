@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from kestrel.llm import sql
 from kestrel.llm.bpe import bpe_round_trip
 from kestrel.llm.cascade import BASE, quality_cascade
+from kestrel.llm.cotrain import fit_quality_model, score_quality
+from kestrel.llm.countjoin import jaccard_components
 from kestrel.llm.huffman import token_index, write_token_ids
 from kestrel.llm.lengths import length_histogram, token_lengths
 from kestrel.llm.licenses import scan_licenses
@@ -50,6 +52,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_lengths(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
+@query("op4_jaccard_join", sql.JACCARD)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op5_decontamination", sql.DECONTAMINATION)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -75,3 +82,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality_model(docs, table(spark, sf_dir, "labels")))

@@ -26,8 +26,8 @@ sh AS (SELECT DISTINCT doc_id, s FROM (
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS (SELECT x, y FROM inter JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
-both AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
-reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM reach r JOIN both e ON r.b = e.x)
+pair AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM reach r JOIN pair e ON r.b = e.x)
 SELECT a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(b) AS component_id
 FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a
 """

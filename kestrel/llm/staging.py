@@ -20,10 +20,28 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark removes a query's shuffle files when the query ends (else when the driver collects garbage).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_cleanly(df: DataFrame, path: str, compression: str = "zstd") -> None:
+    """Write ``df`` as Parquet and free the shuffle files of that job."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: its lineage ends here and it is not computed twice."""
     path = staging_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    write_cleanly(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
