@@ -234,11 +234,12 @@ def bpe_decode(encoded: DataFrame, path: str, doc_id: str = "doc_id", ids: str =
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def bpe_round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
+                   with_ids: bool = False) -> DataFrame:
     """Encode, then decode what was encoded, in one pass.
 
-    Returns (doc_id, n_tokens, ids_sha256, decoded_sha256); the ids are digested as
-    little-endian unsigned 32-bit integers, the decoded text as UTF-8.
+    Returns (doc_id, n_tokens, ids_sha256, decoded_sha256) and, if asked, ``ids``; the ids are
+    digested as little-endian unsigned 32-bit integers, the decoded text as UTF-8.
     """
     source = _source(docs, doc_id, text)
 
@@ -255,9 +256,13 @@ def bpe_round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                     seen.append(hashlib.sha256(wire[off[i]: off[i + 1]]).hexdigest())
                     body = data[reach[i]: reach[i + 1]].tobytes().decode("utf-8", "replace")
                     back.append(hashlib.sha256(body.encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(off)), pa.array(seen), pa.array(back)],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [part.column(0), pa.array(np.diff(off)), pa.array(seen), pa.array(back)]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                             + ", ids array<int>" * with_ids)

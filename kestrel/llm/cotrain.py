@@ -93,16 +93,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, most: int = 6000, least_docs: int = 3,
-               l2: float = 2e-4, steps: int = 250) -> Linear:
+               steps: int = 250) -> Linear:
     """Logistic regression over the ``most`` buckets whose presence tells the classes apart best."""
     n, bad = len(y), max(y.sum(), 1e-9)
+    l2 = 2e-4 + 0.1 / n  # few rows, more shrinkage
     seen = np.bincount(bucket, minlength=BUCKETS)
     with_bad = np.bincount(bucket, y[doc], minlength=BUCKETS)
     share = bad / n
     z = np.abs(with_bad - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
     z[seen < least_docs] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:most])
-    chosen = chosen[z[chosen] > 1.5]
+    chosen = chosen[z[chosen] > 2.5]
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     use = place[bucket] >= 0

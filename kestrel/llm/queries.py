@@ -16,6 +16,7 @@ from kestrel.llm.huffman import token_index, write_token_ids
 from kestrel.llm.lengths import length_histogram, token_lengths
 from kestrel.llm.licenses import scan_licenses
 from kestrel.llm.staging import staging_path
+from kestrel.llm.substrings import removal_digest, remove_repeats
 from kestrel.llm.urlrules import filter_urls
 from kestrel.llm.winnow import contamination_digest, decontaminate
 
@@ -47,6 +48,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+@query("op2_substring_dedup", sql.SUBSTRING)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_lengths(table(spark, sf_dir, "documents"), TOKENIZER))

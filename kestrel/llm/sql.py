@@ -6,14 +6,14 @@ ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 SUBSTRING = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) AS w FROM documents),
-win AS (SELECT doc_id, i AS at, hash(array_to_string(w[i:i + 19], ' ')) AS h, array_to_string(w[i:i + 19], ' ') AS s
+win AS (SELECT doc_id, i AS pos, array_to_string(w[i:i + 19], ' ') AS s
         FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
-ord AS (SELECT doc_id, at, row_number() OVER (PARTITION BY s ORDER BY doc_id, at) AS k FROM win),
-gone AS (SELECT DISTINCT doc_id, at + j AS i FROM ord, unnest(range(0, 20)) AS t(j) WHERE k > 1),
+ord AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS k FROM win),
+gone AS (SELECT DISTINCT doc_id, pos + j AS i FROM ord, unnest(range(0, 20)) AS t(j) WHERE k > 1),
 lists AS (SELECT doc_id, list(i ORDER BY i) AS bad FROM gone GROUP BY doc_id),
 kept AS (SELECT d.doc_id, len(w) AS n, coalesce(len(bad), 0) AS r,
                 CASE WHEN bad IS NULL THEN w ELSE
-                list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(bad, i)), i -> w[i]) END AS k
+                [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(bad, i)] END AS k
          FROM d LEFT JOIN lists USING (doc_id))
 SELECT doc_id, n AS n_words, r AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
