@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.session import cut_lineage
+from kestrel.operators.ranges import range_bucket
 
 
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx", start: int = 0) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_cols`` order.
 
-    Range-partition and sort, cut lineage with a reliable checkpoint so partition
-    contents are fixed, count rows per partition (one small row per partition
-    reaches the driver), then add each partition's offset to the in-partition
-    position carried by ``monotonically_increasing_id``. No global window, no
-    single-partition step.
+    Rows are numbered inside range buckets; a running count over the buckets (one row a
+    bucket) gives each bucket's offset, which is joined back. No window over all rows,
+    nothing collected but the sampled cut points.
     """
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols)
-    ranged = cut_lineage(ranged)
-    with_pos = ranged.withColumn("_mid", F.monotonically_increasing_id()) \
-        .withColumn("_pid", F.shiftright(F.col("_mid"), 33).cast("int"))
-    counts = sorted((r["_pid"], r["n"]) for r in with_pos.groupBy("_pid").agg(F.count("*").alias("n")).collect())
-    offsets, acc = [], start
-    for pid, n in counts:
-        offsets.extend([F.lit(pid), F.lit(acc)])
-        acc += n
-    offset_map = F.create_map(*offsets) if offsets else F.create_map().cast("map<int,bigint>")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return with_pos.withColumn(name, (F.try_element_at(offset_map, F.col("_pid")) + local).cast("long")) \
-        .drop("_mid", "_pid")
+    dealt = df.withColumn("_bkt", range_bucket(df, order_cols))
+    inside = Window.partitionBy("_bkt").orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+    sizes = dealt.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    offsets = sizes.select("_bkt", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    return dealt.withColumn("_pos", F.row_number().over(inside)).join(offsets, "_bkt") \
+        .withColumn(name, (F.col("_off") + F.col("_pos") - 1 + start).cast("long")).select(*df.columns, name)

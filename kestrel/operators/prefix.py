@@ -2,14 +2,16 @@
 
 A plain ``Window.partitionBy(g).orderBy(x)`` puts every row of a group in one
 task; when one group holds a third of the data that task carries a third of the
-data. Here the rows are range-partitioned on (group, order) instead, so a hot
-group is spread over many partitions of equal size:
+data. Here the rows are dealt to range buckets on (group, order) instead, so a hot
+group is spread over many buckets of about equal size:
 
-1. range-partition and sort on (group, order), cut lineage with a checkpoint;
-2. running aggregate inside each (partition, group) slice;
-3. one total per (partition, group) slice - at most partitions + groups rows;
-4. offsets = running aggregate of the slice totals of earlier partitions;
+1. bucket = range of (group, order), from sampled cut points (``ranges``);
+2. running aggregate inside each (bucket, group) slice;
+3. one total per (bucket, group) slice - at most buckets + groups rows;
+4. offsets = running aggregate of the slice totals of earlier buckets;
 5. combine the local value with the offset.
+
+The data is shuffled once (step 2); nothing is written.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.session import cut_lineage
+from kestrel.operators.ranges import range_bucket
 
 _COMBINE = {"sum": lambda a, b: a + b, "count": lambda a, b: a + b,
             "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}
@@ -35,15 +37,10 @@ def prefix_agg(df: DataFrame, group_cols: list[str], order_cols: list[str],
     with equal order keys are still taken in a fixed order, so make the order unique).
     Sums and counts of no rows are 0; max and min of no rows are null.
     """
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
     def srt(c: str) -> Column:
         return F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first()
 
-    keys = [F.col(c).asc_nulls_first() for c in group_cols] + [srt(c) for c in order_cols]
-    ranged = cut_lineage(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys))
-    ranged = ranged.withColumn("__pf_pid", F.spark_partition_id())
+    ranged = df.withColumn("__pf_pid", range_bucket(df, [*group_cols, *order_cols], descending))
     w = Window.partitionBy("__pf_pid", *group_cols).orderBy(*[srt(c) for c in order_cols])
     frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     local = ranged
@@ -57,7 +54,12 @@ def prefix_agg(df: DataFrame, group_cols: list[str], order_cols: list[str],
     offsets = totals.select("__pf_pid", *group_cols, *[
         (F.sum if fn in ("sum", "count") else _AGG[fn])(F.col("_t_" + out)).over(wt).alias("_o_" + out)
         for out, col, fn in aggs])
-    joined = local.join(offsets, ["__pf_pid", *group_cols], "left")
+    same = [F.col("l.__pf_pid") == F.col("o.__pf_pid")] + [F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in group_cols]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    joined = local.alias("l").join(offsets.alias("o"), on, "left") \
+        .select("l.*", *[F.col(f"o._o_{out}") for out, _, _ in aggs])
     for out, col, fn in aggs:
         loc, off = F.col("_l_" + out), F.col("_o_" + out)
         if fn in _ZERO:

@@ -6,18 +6,20 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Rows below which a side may be broadcast; checked by counting, never assumed.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+#: Session defaults of this library; a value given to the cluster or the builder wins.
+DEFAULTS = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true"}
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "kestrel") -> SparkSession:
-    """Return the active session or build one tuned for this library.
+    """Return the active session or build one.
 
-    On a cluster the session normally already exists (spark-submit); this only
-    fills in settings that are unset, so cluster-provided values win.
+    Settings that were given (spark-submit, defaults file, environment) are left as they
+    are: only ``DEFAULTS`` that nobody gave are set, after the session exists. Shuffle
+    partitions and the driver's memory belong to the cluster; ``shuffle_partitions`` sets the
+    first where a caller asks for it (bench and tests), and a local session without a given
+    driver memory takes ``KESTREL_DRIVER_MEMORY``.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -25,32 +27,34 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         return active
     builder = SparkSession.builder.appName(app_name)
     if master:
-        builder = builder.master(master)
-    conf = {
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": os.environ.get("KESTREL_DRIVER_MEMORY", "16g"),
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or 8),
-    }
-    for key, value in conf.items():
-        builder = builder.config(key, value)
+        builder = builder.master(master).config("spark.ui.enabled", "false") \
+            .config("spark.ui.showConsoleProgress", "false")
+        given = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+        if master.startswith("local") and "driver-memory" not in given and "spark.driver.memory" not in given:
+            builder = builder.config("spark.driver.memory", os.environ.get("KESTREL_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
+    known = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if not known.contains(key):
+            spark.conf.set(key, value)
+    if shuffle_partitions and not known.contains("spark.sql.shuffle.partitions"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only when unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a scratch folder of its own; a cluster has no
+    folder that every machine sees unless it names one, so there it is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; {master} needs a folder that all machines share")
         path = tempfile.mkdtemp(prefix="kestrel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -62,13 +66,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads at most limit+1 rows."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked row bound; otherwise leave the shuffle join."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
