@@ -85,12 +85,15 @@ PCT_DEFAULT = list(range(0, 6)) + [25, 50, 75] + list(range(95, 101))
 def outlier_percentiles(df: DataFrame, cols: list[str], percentiles: list[int] | None = None,
                         rounding: int = 2, accuracy: int | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles (``accuracy`` switches to approximate)."""
+    from kestrel.operators.scorecard import exact_quantiles
     ps = percentiles or PCT_DEFAULT
     frac = [p / 100.0 for p in ps]
     long = unpivot(df, [], cols).where(F.col("value").isNotNull())
-    agg = F.percentile_approx("value", frac, accuracy) if accuracy else F.percentile("value", F.array(*map(F.lit, frac)))
-    res = long.groupBy("variable").agg(agg.alias("q"))
-    return res.select("variable", F.posexplode("q").alias("i", "v")).select(
+    if accuracy:
+        res = long.groupBy("variable").agg(F.percentile_approx("value", frac, accuracy).alias("_q"))
+    else:
+        res = exact_quantiles(long, "value", frac, ["variable"])
+    return res.select("variable", F.posexplode("_q").alias("i", "v")).select(
         "variable", F.element_at(F.array(*[F.lit(f"p{p}") for p in ps]), F.col("i") + 1).alias("percentile"),
         F.round("v", rounding).alias("value"))
 
@@ -114,30 +117,32 @@ def cluster_categorical(df: DataFrame, cluster: str, variables: list[str]) -> Da
 
 def cluster_continuous(df: DataFrame, cluster: str, variables: list[str], median_only: bool = False) -> DataFrame:
     """min, 1Q, median, mean, 3Q, max per (variable, cluster); ``median_only`` keeps the median."""
-    long = unpivot(df, [cluster], variables).where(F.col("value").isNotNull())
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = long.groupBy("variable", F.col(cluster).alias("cluster")).agg(
-        F.min("value").alias("min"), q.alias("_q"), F.avg("value").alias("avg"), F.max("value").alias("max"))
-    out = agg.select("variable", "cluster", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("med"),
-                     "avg", F.col("_q")[2].alias("q3"), "max")
+    from kestrel.operators.scorecard import exact_quantiles
+    long = unpivot(df, [cluster], variables).where(F.col("value").isNotNull()) \
+        .select("variable", F.col(cluster).alias("cluster"), "value")
+    agg = long.groupBy("variable", "cluster").agg(F.min("value").alias("min"), F.avg("value").alias("avg"), F.max("value").alias("max"))
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["variable", "cluster"])
+    out = agg.join(q, ["variable", "cluster"]).select(
+        "variable", "cluster", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("med"), "avg",
+        F.col("_q")[2].alias("q3"), "max")
     return out.select("variable", "cluster", "med") if median_only else out
 
 
 def cluster_top5_other(df: DataFrame, cluster: str, variables: list[str], top: int = 5) -> DataFrame:
     """Categorical profile keeping the ``top`` most frequent values of each variable
-    (overall), the rest as ``Other``; counts per cluster and a grand total (cluster null)
+    (overall), the rest as ``Other``; a null value stays null and takes no place; counts per cluster and a grand total (cluster null)
     from one rollup."""
     long = df.select(F.col(cluster).alias("cluster"), F.explode(F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("value")) for v in variables])).alias("kv")) \
         .select("cluster", "kv.*")
-    freq = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("variable").orderBy(F.col("_n").desc(), F.col("value").asc_nulls_first())
+    counts = long.groupBy("variable", "value", "cluster").agg(F.count(F.lit(1)).alias("_n"))  # before any join
+    freq = counts.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy("variable").orderBy(F.col("_n").desc(), F.col("value").asc())
     keep = freq.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).select("variable", "value",
                                                                                           F.lit(True).alias("_k"))
-    grp = long.join(keep, ["variable", "value"], "left").withColumn(
-        "value", F.when(F.col("_k"), F.col("value")).otherwise(F.lit("Other")))
-    return grp.rollup("variable", "value", "cluster").agg(F.count(F.lit(1)).alias("count"),
-                                                         F.grouping_id().alias("_g")) \
+    label = F.when(F.col("_k") | F.col("value").isNull(), F.col("value")).otherwise(F.lit("Other"))
+    grp = counts.join(keep, ["variable", "value"], "left").withColumn("value", label)
+    return grp.rollup("variable", "value", "cluster").agg(F.sum("_n").alias("count"), F.grouping_id().alias("_g")) \
         .where(F.col("_g").isin(0, 1)).drop("_g")
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.session import broadcast_if_small
 
 
 def _c(x: Column | str) -> Column:
@@ -162,9 +161,9 @@ def category_order(df: DataFrame, col: str, order_cols: list[str], name: str = "
 # C4-C11 joins
 # ---------------------------------------------------------------------------
 
-def left_lookup(df: DataFrame, lookup: DataFrame, on: list[str], max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Left join to a lookup table, broadcast only when its row count is checked small."""
-    return df.join(broadcast_if_small(lookup, max_broadcast_rows), on, "left")
+def left_lookup(df: DataFrame, lookup: DataFrame, on: list[str]) -> DataFrame:
+    """Left join to a lookup table; Spark broadcasts it where its size in bytes is small at run time."""
+    return df.join(lookup, on, "left")
 
 
 def semi_mapped(df: DataFrame, mapping: DataFrame, on: list[str]) -> DataFrame:
@@ -209,23 +208,21 @@ def conversion(txns: DataFrame, items: DataFrame, window_days: int = 120) -> Dat
     day = F.datediff(F.col("order_date"), F.lit("1970-01-01")).cast("long")
     w = txns.select("transaction_id", "customer_id", "order_date", F.explode("watched").alias("product_id")) \
         .select("customer_id", "product_id", day.alias("_d"), F.lit(1).alias("_kind"),
-                F.col("transaction_id").alias("_txn"), F.lit(None).cast("long").alias("_code"))
-    # purchase code = day * 2^40 + transaction id: ordering by the code orders by (day, id)
+                F.col("transaction_id").alias("_txn"))
     # newest-first scan with watches (kind 1) ahead of purchases (kind 0) of the same day,
     # so a watch only sees strictly later purchases
     p = items.select("customer_id", "product_id", day.alias("_d"), F.lit(0).alias("_kind"),
-                     F.col("transaction_id").alias("_txn"),
-                     (day * (1 << 40) + F.col("transaction_id").cast("long")).alias("_code"))
-    ev = w.unionByName(p)
+                     F.col("transaction_id").alias("_txn"))
+    purchase = F.when(F.col("_kind") == 0, F.struct(F.col("_d").alias("d"), F.col("_txn").alias("t")))
+    ev = w.unionByName(p).withColumn("_code", purchase)
     nxt = prefix_agg(ev, ["customer_id", "product_id"], ["_d", "_kind", "_txn"], [("_next", "_code", "min")],
                      exclusive=True, descending=True)
     hits = nxt.where((F.col("_kind") == 1) & F.col("_next").isNotNull()) \
-        .withColumn("_nd", F.shiftright("_next", 40)) \
-        .where((F.col("_nd") > F.col("_d")) & (F.col("_nd") <= F.col("_d") + window_days))
+        .where((F.col("_next.d") > F.col("_d")) & (F.col("_next.d") <= F.col("_d") + window_days))
     best = hits.groupBy(F.col("_txn").alias("transaction_id")).agg(F.min("_next").alias("_b"))
     return best.select("transaction_id",
-                       F.date_add(F.lit("1970-01-01").cast("date"), F.shiftright("_b", 40).cast("int")).alias("converted_date"),
-                       (F.col("_b") - F.shiftleft(F.shiftright("_b", 40), 40)).alias("converted_txn_id"))
+                       F.date_add(F.lit("1970-01-01").cast("date"), F.col("_b.d").cast("int")).alias("converted_date"),
+                       F.col("_b.t").alias("converted_txn_id"))
 
 
 def forecast_align(forecast: DataFrame, observed: DataFrame, on: list[str]) -> DataFrame:

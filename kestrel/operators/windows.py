@@ -77,7 +77,7 @@ def index_ids(df: DataFrame, col: str, name: str) -> DataFrame:
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Merge overlapping or touching [start, end] intervals per key (gaps and islands)."""
-    base = df.select(key, start, end).where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    base = df.select(key, start, end).where(F.col(start).isNotNull() & F.col(end).isNotNull()).distinct()
     prev = prefix_agg(base, [key], [start, end], [("_pmax", end, "max")], exclusive=True)
     flagged = prev.withColumn("_new", F.when(F.col("_pmax").isNull() | (F.col(start) > F.col("_pmax")), 1)
                               .otherwise(0))

@@ -217,10 +217,15 @@ def q_boxcox(t: Tables):
                     F.round(R.inv_boxcox(bc, 0.5), 6).alias("inv_half"))
 
 
-@register("boxcox_lambda")
+@register("boxcox_lambda", """WITH y AS (SELECT o_orderpriority, o_totalprice::DOUBLE AS y, round(i * 0.01::DOUBLE - 2.0::DOUBLE, 6) AS lmbda
+  FROM orders, range(401) g(i) WHERE o_totalprice > 0),
+a AS (SELECT o_orderpriority, lmbda, count(*) AS n, sum(ln(y)) AS sl,
+  var_pop(CASE WHEN lmbda = 0 THEN ln(y) ELSE (pow(y, lmbda) - 1) / lmbda END) AS v FROM y GROUP BY ALL),
+l AS (SELECT *, -(n / 2.0::DOUBLE) * ln(v) + (lmbda - 1) * sl AS llf FROM a)
+SELECT o_orderpriority, max_by(lmbda, llf) AS lmbda, round(max(llf), 3) AS llf FROM l GROUP BY o_orderpriority""")
 def q_boxcox_lambda(t: Tables):
     """Box-Cox lambda of order totals per priority (maximum likelihood on a 0.01 grid)."""
-    return R.boxcox_lambda(t.orders, "o_totalprice", ["o_orderpriority"])
+    return R.boxcox_lambda(t.orders, "o_totalprice", ["o_orderpriority"]).withColumn("llf", F.round("llf", 3))
 
 
 @register("unpivot", """SELECT l_orderkey, l_linenumber, variable, value FROM (
@@ -279,12 +284,12 @@ def q_anti(t: Tables):
 
 CAMPAIGNS_SQL = """camp AS (SELECT p_partkey AS sample_id, p_size AS campaign_id,
   DATE '1995-01-01' + INTERVAL (p_size * 45) DAY AS start_date,
-  DATE '1995-01-01' + INTERVAL (p_size * 45 + 364) DAY AS end_date FROM part WHERE p_size <= 10)"""
+  DATE '1995-01-01' + INTERVAL (p_size * 45 + 364) DAY AS end_date FROM part)"""
 
 
 def campaigns(t: Tables):
-    """Campaigns derived from parts of size <= 10: sample = part, one year starting size*45 days after 1995-01-01."""
-    p = t.part.where(F.col("p_size") <= 10)
+    """One campaign per part: sample = part, one year starting size*45 days after 1995-01-01."""
+    p = t.part
     start = F.date_add(F.to_date(F.lit("1995-01-01")), F.col("p_size") * 45)
     return p.select(F.col("p_partkey").alias("sample_id"), F.col("p_size").alias("campaign_id"),
                     start.alias("start_date"), F.date_add(start, 364).alias("end_date"))

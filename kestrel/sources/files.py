@@ -2,7 +2,8 @@
 
 Paths are plain strings understood by the cluster's file system (HDFS, object
 store, or a local folder in tests). Scratch output goes under the session's
-shared ``spark.checkpoint.dir`` - never a machine-local temporary folder.
+shared ``spark.checkpoint.dir``; only a local session without one uses a
+temporary folder of its machine.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/kestrel-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", encoding: str = "UTF-8",
              header: bool = True) -> DataFrame:
     """Delimited read with a declared schema (no inference pass); with ``header`` the
@@ -37,6 +43,7 @@ _STD_CHARSETS = {"iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "ut
 
 
 def _allow_charset(spark: SparkSession, encoding: str) -> None:
+    """The switch is read when the file is, so it stays on for the session once needed."""
     if encoding.lower() not in _STD_CHARSETS:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
@@ -55,9 +62,7 @@ def load_dataset(spark: SparkSession, root: str, name: str, schema: str, mandato
     """Load ``root/name.csv``; a missing optional file gives None, a missing mandatory
     file raises. ``transform`` is applied to the loaded frame."""
     path = f"{root.rstrip('/')}/{name}.csv"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    if not path_exists(spark, path):
         if mandatory:
             raise DatasetMissing(path)
         return None
@@ -110,13 +115,11 @@ def save_model(candidates: DataFrame, path: str, check: bool = True) -> None:
     to replace a saved model that holds more algorithms than the new one."""
     spark = candidates.sparkSession
     if check:
-        try:
-            old = spark.read.parquet(path).select(F.countDistinct("algorithm")).first()[0]
-        except Exception:  # noqa: BLE001 - nothing saved yet
-            old = 0
+        saved = path_exists(spark, path)  # a saved model that cannot be read is an error, not a reason to replace it
+        old = spark.read.parquet(path).select(F.countDistinct("algorithm")).first()[0] if saved else 0
         new = candidates.select(F.countDistinct("algorithm")).first()[0]
         if old > new:
-            raise ModelDowngrade("Trying to rewrite saved model with less calculated data.")
+            raise ModelDowngrade(f"{path} holds {old} algorithms, the new model {new}")
     candidates.write.mode("overwrite").parquet(path)
 
 
