@@ -35,13 +35,6 @@ NATIVE = ("Hamming", "Levenshtein") + TOKEN
 # native expressions
 # ---------------------------------------------------------------------------
 
-def gram_counts(col: Column, q: int) -> Column:
-    """map<gram, count> of the q-gram multiset of a string."""
-    g = qgrams(col, q)
-    d = F.array_distinct(g)
-    return F.map_from_arrays(d, F.transform(d, lambda x: F.size(F.filter(g, lambda y: y == x))))
-
-
 def gram_tags(col: Column, q: int) -> Column:
     """The q-gram multiset as a set: the k-th occurrence of gram g becomes "g<SOH>k".
     Multiset intersection sizes then come from ``array_intersect`` (hash based, no
@@ -69,32 +62,6 @@ def token_similarity_tags(name: str, ta: Column, tb: Column, same: Column) -> Co
     return F.when(same, F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(v)
 
 
-def _total(m: Column) -> Column:
-    return F.aggregate(F.map_values(m), F.lit(0), lambda a, v: a + v)
-
-
-def _intersection(ma: Column, mb: Column) -> Column:
-    return F.aggregate(F.map_entries(ma), F.lit(0),
-                       lambda a, e: a + F.least(e["value"], F.coalesce(F.try_element_at(mb, e["key"]), F.lit(0))))
-
-
-def token_similarity(name: str, ma: Column, mb: Column, same: Column) -> Column:
-    """Multiset measures on gram-count maps; identical strings score 1, an empty side 0."""
-    inter = _intersection(ma, mb).cast("double")
-    na, nb = _total(ma).cast("double"), _total(mb).cast("double")
-    if name == "Overlap":
-        v = inter / F.least(na, nb)
-    elif name == "Cosine":
-        v = inter / F.sqrt(na * nb)
-    elif name in ("Jaccard", "Tversky"):  # Tversky with both weights 1 equals Jaccard
-        v = inter / (na + nb - inter)
-    elif name == "Sorensen":
-        v = 2 * inter / (na + nb)
-    else:
-        raise ValueError(name)
-    return F.when(same, F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(v)
-
-
 def hamming(a: Column, b: Column) -> Column:
     """Positions that differ; the longer string's tail counts as mismatches."""
     ca = F.filter(F.split(a, ""), lambda x: x != "")

@@ -51,7 +51,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_cols: lis
     d = df.where(x.isNotNull()).groupBy(*g, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     pre = prefix_agg(d, g, ["_v"], [("_cb", "_c", "sum")], exclusive=True)
     sizes = d.groupBy(*g).agg(F.sum("_c").alias("_n"))
-    j = pre.join(F.broadcast(sizes), g) if g else pre.withColumn("_n", d.select(F.sum("_c")).scalar())
+    j = pre.join(sizes, g) if g else pre.withColumn("_n", d.select(F.sum("_c")).scalar())
     targets = []
     for i, p in enumerate(probs):
         h = F.lit(float(p)) * (F.col("_n") - 1)
@@ -94,7 +94,7 @@ def quantile_bins(df: DataFrame, col: str, bins: int = 10, rounding: int = 2,
     """
     g = group_cols or []
     e = edges if edges is not None else quantile_edges(df, col, bins, g)
-    j = df.join(F.broadcast(e), g, "left") if g else df.withColumn("_edges", e.select("_edges").scalar())
+    j = df.join(e, g, "left") if g else df.withColumn("_edges", e.select("_edges").scalar())
     x = F.col(col).cast("double")
     b = bin_of(x, F.col("_edges"), bins + 1)
     low = F.round(F.element_at(F.col("_edges"), b + 1), rounding)
@@ -125,10 +125,13 @@ def histogram_edges(df: DataFrame, col: str, edges: Column, group_cols: list[str
 # ---------------------------------------------------------------------------
 
 def train_test_stats(df: DataFrame, sample_col: str, group: str, response: str,
-                     train: str = "train", test: str = "test", event: str = "event") -> DataFrame:
+                     train: str = "train", test: str = "test", event: str = "event",
+                     valid: str | None = None, order_by: str | None = None) -> DataFrame:
     """Observations, events and event rates of train, test and total (all rows) per
     group, plus a Total row whose percentages are recomputed from the summed counts.
-    One rollup aggregation; groups missing from a sample count 0."""
+    One rollup aggregation; groups missing from a sample count 0. With ``valid`` the same
+    columns for a third sample; with ``order_by`` the groups' smallest value of that column
+    as ``group_order`` and rows in its order, the Total last."""
     s, r = F.col(sample_col), F.col(response).cast("long")
     agg = df.rollup(group).agg(
         F.sum(F.when(s == train, 1).otherwise(0)).alias("train_obs"),
@@ -137,9 +140,19 @@ def train_test_stats(df: DataFrame, sample_col: str, group: str, response: str,
         F.sum(F.when(s == train, r).otherwise(0)).alias(f"train_{event}"),
         F.sum(F.when(s == test, r).otherwise(0)).alias(f"test_{event}"),
         F.sum(r).alias(f"total_{event}"),
-        F.grouping(group).alias("_g"))
+        F.grouping(group).alias("_g"),
+        *([F.sum(F.when(s == valid, 1).otherwise(0)).alias("valid_obs"),
+           F.sum(F.when(s == valid, r).otherwise(0)).alias(f"valid_{event}")] if valid else []),
+        *([F.min(order_by).alias("_o")] if order_by else []))
     out = agg.withColumn(group, F.when(F.col("_g") == 1, F.lit("Total")).otherwise(F.col(group).cast("string")))
     te, se, oe = F.col(f"train_{event}"), F.col(f"test_{event}"), F.col(f"total_{event}")
+    more = []
+    if valid:
+        more += ["valid_obs", f"valid_{event}",
+                 F.coalesce(_pct(F.col(f"valid_{event}"), F.col("valid_obs")), F.lit(0.0)).alias("er_valid_pct")]
+    if order_by:
+        out = out.orderBy("_g", F.col("_o").asc_nulls_last(), group)
+        more.append(F.when(F.col("_g") == 0, F.col("_o")).alias("group_order"))
     return out.select(
         group, "train_obs", "test_obs", "total_obs",
         F.coalesce(_pct(F.col("train_obs"), F.col("total_obs")), F.lit(0.0)).alias("train_obs_pct"),
@@ -147,7 +160,7 @@ def train_test_stats(df: DataFrame, sample_col: str, group: str, response: str,
         F.coalesce(_pct(te, oe), F.lit(0.0)).alias(f"train_{event}_pct"),
         F.coalesce(_pct(te, F.col("train_obs")), F.lit(0.0)).alias("er_train_pct"),
         F.coalesce(_pct(se, F.col("test_obs")), F.lit(0.0)).alias("er_test_pct"),
-        F.coalesce(_pct(oe, F.col("total_obs")), F.lit(0.0)).alias("er_total_pct"))
+        F.coalesce(_pct(oe, F.col("total_obs")), F.lit(0.0)).alias("er_total_pct"), *more)
 
 
 def univariate_continuous(df: DataFrame, sample_col: str, col: str, response: str, bins: int = 10,
@@ -205,15 +218,14 @@ def woe_table(df: DataFrame, predictors: list[str], response: str) -> DataFrame:
     return g.select("predictor", "value", F.round(F.log(nep / ep), 4).alias("woe"))
 
 
-def woe_apply(df: DataFrame, table: DataFrame, predictors: list[str], max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def woe_apply(df: DataFrame, table: DataFrame, predictors: list[str]) -> DataFrame:
     """Add ``{p}_woe`` for every predictor: one left join per predictor with its slice of
-    the WOE table (categories only, broadcast after a size check), so the rows are
-    never shuffled. Unknown categories get null."""
-    from kestrel.session import broadcast_if_small
+    the WOE table (one row a category; Spark broadcasts it where it is small at run time).
+    Unknown categories get null."""
     out = df
     for p in predictors:
         sl = table.where(F.col("predictor") == p).select(F.col("value").alias(f"_v_{p}"), F.col("woe").alias(f"{p}_woe"))
-        out = out.join(broadcast_if_small(sl, max_broadcast_rows), F.col(p).cast("string") == F.col(f"_v_{p}"), "left") \
+        out = out.join(sl, F.col(p).cast("string") == F.col(f"_v_{p}"), "left") \
             .drop(f"_v_{p}")
     return out
 
@@ -313,12 +325,21 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 # Splits, imputation, standardisation
 # ---------------------------------------------------------------------------
 
+def seeded_digest(seed: int, *ids: str) -> Column:
+    """Hex digest of (seed, ids): an order that every engine and every run agrees on."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids]).cast("binary"))
+
+
+def seeded_share(seed: int, *ids: str) -> Column:
+    """A number in [0, 1) from the first 32 bits of the digest."""
+    return F.conv(F.substring(seeded_digest(seed, *ids), 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32)
+
+
 def stratified_split(df: DataFrame, strata: list[str], id_col: str, sizes: dict[str, float],
                      seed: int = 42, name: str = "sample") -> DataFrame:
     """Exact, reproducible stratified split: rows ordered within each stratum by a seeded
-    hash of the id; a row's position share picks its part by cumulative ``sizes``."""
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    keyed = df.withColumn("_h", h)
+    digest of the id; a row's position share picks its part by cumulative ``sizes``."""
+    keyed = df.withColumn("_h", seeded_digest(seed, id_col))
     pos = prefix_agg(keyed, strata, ["_h", id_col], [("_pos", "*", "count")])
     sizes_df = keyed.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
     j = pos.join(sizes_df, strata)
@@ -333,18 +354,24 @@ def stratified_split(df: DataFrame, strata: list[str], id_col: str, sizes: dict[
 
 
 def user_split(df: DataFrame, user: str, n_valid: int, seed: int = 42, frac: float = 0.5) -> DataFrame:
-    """Half of the users (by seeded hash) are held out; of those, the first ``n_valid`` in
-    hash order go to ``valid`` and the rest to ``test``; the others are ``train``."""
-    users = df.select(user).distinct().withColumn("_h", F.xxhash64(F.lit(seed), F.col(user)))
-    users = users.withColumn("_u", (F.abs(F.col("_h") % 1_000_000) / 1_000_000.0))
-    held = users.where(F.col("_u") < frac)
+    """Half of the users (by seeded digest) are held out; of those, the first ``n_valid`` in
+    digest order go to ``valid`` and the rest to ``test``; the others are ``train``."""
+    users = df.select(user).distinct().withColumn("_h", seeded_digest(seed, user))
+    held = users.where(seeded_share(seed, user) < frac)
     ranked = prefix_agg(held.withColumn("_k", F.lit(0)), ["_k"], ["_h", user], [("_r", "*", "count")])
     lab = ranked.select(user, F.when(F.col("_r") <= n_valid, "valid").otherwise("test").alias("split"))
     return df.join(lab, user, "left").fillna("train", ["split"])
 
 
-def random_split(df: DataFrame, weights: list[float], seed: int = 42) -> list[DataFrame]:
-    return df.randomSplit(weights, seed)
+def random_split(df: DataFrame, weights: list[float], ids: list[str], seed: int = 42) -> list[DataFrame]:
+    """Parts by a seeded digest of the ids, in shares of ``weights``: the same rows in every run."""
+    total, low, out = sum(weights), 0.0, []
+    share = seeded_share(seed, *ids)
+    for k, w in enumerate(weights):
+        high = low + w / total
+        out.append(df.where((share >= low) & (share < high)) if k + 1 < len(weights) else df.where(share >= low))
+        low = high
+    return out
 
 
 def impute_train_mean(df: DataFrame, cols: list[str], sample_col: str, train: str = "train") -> DataFrame:
@@ -397,7 +424,3 @@ def cost_features(df: DataFrame, woe_cols: dict[str, str], abs_cols: list[str],
     for c in square_cols:
         out = out.withColumn(f"{c}_sq", F.coalesce(F.pow(F.col(c), 2), F.lit(0.0)))
     return out
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -103,28 +103,25 @@ def acf(df: DataFrame, key: str, ts: str, y: str, nlags: int = 10) -> DataFrame:
 
 
 def pacf(acf_df: DataFrame, key: str) -> DataFrame:
-    """Durbin-Levinson recursion on each series' (short) acf array."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        r = pdf["acf"].to_numpy(dtype=float)
-        n = len(r) - 1
-        out = [1.0]
-        phi_prev = np.zeros(0)
-        for k in range(1, n + 1):
-            if k == 1:
-                phi_kk = r[1]
-                phi = np.array([phi_kk])
-            else:
-                num = r[k] - np.sum(phi_prev * r[1:k][::-1])
-                den = 1 - np.sum(phi_prev * r[1:k])
-                phi_kk = num / den if den != 0 else float("nan")
-                phi = np.append(phi_prev - phi_kk * phi_prev[::-1], phi_kk)
-            out.append(float(phi_kk))
-            phi_prev = phi
-        return pd.DataFrame({key: pdf[key].iloc[0], "lag": list(range(n + 1)), "pacf": out})
-
-    schema = f"{key} {dict(acf_df.dtypes)[key]}, lag int, pacf double"
-    return acf_df.select(key, "lag", "acf").groupBy(key).applyInPandas(run, schema)
+    """Partial autocorrelations by the Durbin-Levinson recursion, folded over each series'
+    autocorrelations (an array of as many lags as ``acf_df`` has)."""
+    r = acf_df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda x: x["acf"]).alias("_r"))
+
+    def dot(phi, values):
+        return F.aggregate(F.zip_with(phi, values, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    def step(acc, k):
+        phi = acc["phi"]
+        before = F.slice(F.col("_r"), 2, k - 1)  # lags 1 .. k - 1
+        num = F.element_at("_r", k + 1) - dot(phi, F.reverse(before))
+        p = F.try_divide(num, 1 - dot(phi, before))
+        grown = F.concat(F.zip_with(phi, F.reverse(phi), lambda a, b: a - p * b), F.array(p))
+        return F.struct(grown.alias("phi"), F.concat(acc["out"], F.array(p)).alias("out"))
+
+    first = F.struct(F.array(F.element_at("_r", 2)).alias("phi"), F.array(F.lit(1.0), F.element_at("_r", 2)).alias("out"))
+    lags = F.when(F.size("_r") > 2, F.sequence(F.lit(2), F.size("_r") - 1)).otherwise(F.array().cast("array<int>"))
+    out = F.when(F.size("_r") > 1, F.aggregate(lags, first, step)["out"]).otherwise(F.array(F.lit(1.0)))
+    return r.select(key, F.posexplode(out).alias("lag", "pacf"))
 
 
 def chi2_sf_even(x, df: int):

@@ -236,7 +236,11 @@ def q_correlation(t: Tables):
     return SC.correlation_matrix(sc(t), _CORR).withColumn("corr", F.round("corr", 12))
 
 
-@register("stratified_split")
+@register("stratified_split", f"""WITH {SC_SQL}, s AS (SELECT *, md5('42:' || (l_orderkey * 10 + l_linenumber)::VARCHAR) AS h FROM sc),
+p AS (SELECT *, (row_number() OVER (PARTITION BY l_linestatus, response ORDER BY h) - 0.5)
+        / count(*) OVER (PARTITION BY l_linestatus, response) AS share FROM s)
+SELECT l_orderkey, l_linenumber, l_linestatus, response,
+       CASE WHEN share < 0.6::DOUBLE THEN 'train' WHEN share < 0.6::DOUBLE + 0.2::DOUBLE THEN 'valid' ELSE 'test' END AS sample FROM p""")
 def q_stratified_split(t: Tables):
     """60:20:20 split stratified by (line status, response), ordered by a seeded hash."""
     s = sc(t).withColumn("rid", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
@@ -244,16 +248,21 @@ def q_stratified_split(t: Tables):
         .select("l_orderkey", "l_linenumber", "l_linestatus", "response", "sample")
 
 
-@register("user_split")
+@register("user_split", """WITH u AS (SELECT DISTINCT o_custkey, md5('42:' || o_custkey::VARCHAR) AS h FROM orders),
+held AS (SELECT o_custkey, row_number() OVER (ORDER BY h) AS r FROM u
+         WHERE ('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.5)
+SELECT o_orderkey, o_custkey, CASE WHEN r IS NULL THEN 'train' WHEN r <= 100 THEN 'valid' ELSE 'test' END AS split
+FROM orders LEFT JOIN held USING (o_custkey)""")
 def q_user_split(t: Tables):
     """Half of the customers held out; the first 100 of them (hash order) validate."""
     return SC.user_split(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", 100)
 
 
-@register("random_split")
+@register("random_split", """SELECT l_orderkey, l_linenumber, CASE WHEN ('0x' || substr(md5('42:' || l_orderkey::VARCHAR || ':'
+  || l_linenumber::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.75 THEN 'train' ELSE 'test' END AS part FROM lineitem""")
 def q_random_split(t: Tables):
     """75:25 random split of the lines, labelled."""
-    a, b = SC.random_split(t.lineitem.select("l_orderkey", "l_linenumber"), [0.75, 0.25], 42)
+    a, b = SC.random_split(t.lineitem.select("l_orderkey", "l_linenumber"), [0.75, 0.25], ["l_orderkey", "l_linenumber"], 42)
     return a.withColumn("part", F.lit("train")).unionByName(b.withColumn("part", F.lit("test")))
 
 

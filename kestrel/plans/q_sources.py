@@ -87,7 +87,10 @@ def q_save_candidates(t: Tables):
     return t.spark.read.parquet(path).select("input", "rank", "match", "score", "algorithm")
 
 
-@register("model_guard")
+@register("model_guard", f"""WITH {S.tfidf_ctes(FIELDS_SQL, TERMS_SQL, p='a_')}, {S.cosine_cte('a_')}, {S.topn_cte(3, 'a_')},
+{S.tfidf_ctes(FIELDS_SQL, TERMS_SQL, 'word', 1, False, p='b_')}, {S.cosine_cte('b_')}, {S.topn_cte(3, 'b_')}
+SELECT input, rank, match, score, 'char_wb' AS algorithm FROM a_top
+UNION ALL SELECT input, rank, match, score, 'word' FROM b_top""")
 def q_model_guard(t: Tables):
     """A two-algorithm model is saved; overwriting it with one algorithm is refused."""
     path = FS.scratch_path(t.spark, "model")
@@ -102,7 +105,12 @@ def q_model_guard(t: Tables):
     return t.spark.read.parquet(path)
 
 
-@register("run_metrics")
+@register("run_metrics", """WITH j AS (SELECT l_extendedprice::DOUBLE AS a, (l_quantity * p_retailprice)::DOUBLE AS p
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+m AS (SELECT avg(abs(a - p)) AS mae, avg((a - p) * (a - p)) AS mse, sum((a - p) * (a - p)) AS sse, var_pop(a) * count(*) AS sst FROM j)
+SELECT 'run-1' AS run, 'param' AS kind, name, value FROM (VALUES ('alpha', 0.0::DOUBLE), ('l1_ratio', 0.0::DOUBLE)) v(name, value)
+UNION ALL SELECT 'run-1', 'metric', name, round(value, 4) FROM (SELECT unnest(['mae', 'mse', 'rmse', 'r2']) AS name,
+  unnest([mae, mse, sqrt(mse), 1 - sse / sst]) AS value FROM m)""")
 def q_run_metrics(t: Tables):
     """Parameters and metrics of a regression run appended to a metrics table."""
     from kestrel.operators.evaluation import regression_metrics
@@ -111,4 +119,4 @@ def q_run_metrics(t: Tables):
     m = regression_metrics(j.select(F.col("l_extendedprice").alias("a"),
                                     (F.col("l_quantity") * F.col("p_retailprice")).alias("p")), "a", "p").first()
     FS.log_metrics(t.spark, path, "run-1", {"alpha": 0.0, "l1_ratio": 0.0}, "param")
-    return FS.log_metrics(t.spark, path, "run-1", {k: m[k] for k in ("mae", "mse", "rmse", "r2")})
+    return FS.log_metrics(t.spark, path, "run-1", {k: round(m[k], 4) for k in ("mae", "mse", "rmse", "r2")})

@@ -101,9 +101,23 @@ def q_acf(t: Tables):
     return TS.acf(monthly(t), "series_id", "ts", "y", 10).withColumn("acf", F.round("acf", 9))
 
 
-@register("pacf")
+def _pacf_sql(lags: int) -> str:
+    """Durbin-Levinson unrolled: one step per lag, phi as a list."""
+    steps = ["r AS (SELECT series_id, list(acf ORDER BY lag) AS r FROM acf GROUP BY series_id)",
+             "d1 AS (SELECT series_id, r, [r[2]] AS phi, [1.0::DOUBLE, r[2]] AS o FROM r)"]
+    for k in range(2, lags + 1):
+        num = " - ".join([f"r[{k + 1}]"] + [f"phi[{j}] * r[{k - j + 1}]" for j in range(1, k)])
+        den = " - ".join(["1"] + [f"phi[{j}] * r[{j + 1}]" for j in range(1, k)])
+        phi = ", ".join([f"phi[{j}] - p * phi[{k - j}]" for j in range(1, k)] + ["p"])
+        steps.append(f"d{k} AS (SELECT series_id, r, [{phi}] AS phi, list_append(o, p) AS o FROM "
+                     f"(SELECT *, ({num}) / ({den}) AS p FROM d{k - 1}))")
+    return ", ".join(steps)
+
+
+@register("pacf", f"""WITH {MONTHLY_SQL}, {_acf_sql(10)}, {_pacf_sql(10)}
+SELECT series_id, (unnest(range(0, 11)))::INTEGER AS lag, round(unnest(o), 7) AS pacf FROM d10""")
 def q_pacf(t: Tables):
-    return TS.pacf(TS.acf(monthly(t), "series_id", "ts", "y", 10), "series_id")
+    return TS.pacf(TS.acf(monthly(t), "series_id", "ts", "y", 10), "series_id").withColumn("pacf", F.round("pacf", 7))
 
 
 @register("ljung_box", f"""WITH {MONTHLY_SQL}, {_acf_sql(10)},
