@@ -45,12 +45,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is not None and spark.sparkContext._jsc is not None:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            for spark, path in list(_WRITTEN):
+                if f"/{path.rsplit('/', 1)[-1]}/" in file:
+                    _WRITTEN.remove((spark, path))
+                    _delete(spark, path)
+
+
 def release_staged() -> None:
     """Delete every staged table of this process (results that still read them become invalid)."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        jvm = spark.sparkContext._jvm
-        if jvm is None or spark.sparkContext._jsc is None:
-            continue
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(*_WRITTEN.pop())

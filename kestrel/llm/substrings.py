@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.fmindex import FMIndex
-from kestrel.llm.staging import stage
+from kestrel.llm.staging import drop_staged, stage
 from kestrel.llm.textarrays import SPACED, Texts, Words, _spans, distinct, mix, ngrams, runs, slices, window_minima
 
 
@@ -100,6 +100,12 @@ def _segments(width: int, anchor: int):
                 order = np.lexsort((number, rows, ids, content))
                 kept = np.zeros(len(start), bool)
                 kept[order[runs(content[order])[:-1]]] = True  # the first of equal segments; the others are gone
+                # decided segments of one text that follow each other leave as one
+                follows = np.zeros(len(start), bool)
+                follows[1:] = ~kept[1:] & ~kept[:-1] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + count[:-1])
+                head = np.flatnonzero(~follows)
+                count = np.add.reduceat(count, head) if len(head) else count
+                start, number, ids, rows, shard, kept = (x[head] for x in (start, number, ids, rows, shard, kept))
                 s, e, raw = a.words.start[start], a.words.end[start + count + width - 2], texts.data.tobytes()
                 body = [raw[x:y] if k else None for x, y, k in zip(s.tolist(), e.tolist(), kept.tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -194,13 +200,16 @@ def gone_windows(source: DataFrame, width: int, anchor: int, hot: int) -> DataFr
     repeated = sent.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("slices")).filter("n > 1")
     place = sent.join(repeated.select("anchor", (F.col("slices") > hot).cast("int").alias("hot")), "anchor") \
         .select("hot", F.inline("places")).select("key", (F.col("at").cast("long") * 2 + F.col("hot")).alias("place"))
-    wanted = place.groupBy("key").agg(F.collect_list("place").alias("places"))  # bounded by the document
+    wanted = stage(place.groupBy("key").agg(F.collect_list("place").alias("places")), "places")  # bounded by the document
+    drop_staged(sent)
     some = keyed.join(wanted, "key").select("key", "id", "row", "places", "text")
     segments = some.mapInArrow(_segments(width, anchor), "shard long, id long, row long, start long, windows long, words binary")
     shard = F.when(F.col("words").isNull(), F.xxhash64("id", "row", "start")).otherwise(F.col("shard"))
     places = segments.withColumn("shard", shard).repartition(partitions, "shard").sortWithinPartitions("shard") \
         .mapInArrow(_search(width), "id long, row long, start long, windows long")
-    return stage(places, "gone").groupBy("id", "row").agg(F.collect_set(F.struct("start", "windows")).alias("gone"))
+    gone = stage(places, "gone")
+    drop_staged(wanted)
+    return gone.groupBy("id", "row").agg(F.collect_set(F.struct("start", "windows")).alias("gone"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 20, anchor: int = 8,
