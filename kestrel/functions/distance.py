@@ -62,6 +62,24 @@ def token_similarity_tags(name: str, ta: Column, tb: Column, same: Column) -> Co
     return F.when(same, F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(v)
 
 
+def bounded(name: str, q: int) -> bool:
+    """Do the sizes of two strings bound this measure?"""
+    return name in ("Cosine", "Jaccard", "Tversky", "Sorensen") or (name in ("Hamming", "Levenshtein") and q == 1)
+
+
+def size_bound(name: str, a: int, b: int, q: int) -> float:
+    """The best score that strings of sizes a and b can have: every position or gram of the
+    smaller one agrees. For measures without such a bound, the best score of all."""
+    low, high = min(a, b), max(a, b)
+    if not bounded(name, q):
+        return 1.0 if name in REVERSE else 0.0
+    if name in ("Hamming", "Levenshtein"):
+        return float(high - low)
+    if low == 0:
+        return float(high == 0)
+    return {"Cosine": (low / high) ** 0.5, "Sorensen": 2 * low / (low + high)}.get(name, low / high)
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Positions that differ; the longer string's tail counts as mismatches."""
     ca = F.filter(F.split(a, ""), lambda x: x != "")

@@ -6,7 +6,7 @@ Every function maps DataFrames to a DataFrame. Documents are identified by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions import text as T
@@ -155,15 +155,38 @@ def normalize_key(df: DataFrame, parent: str, child: str, name: str = "key") ->
     return df.select(k.alias(name)).where(F.col(name).isNotNull()).distinct()
 
 
-def term_blocks(terms: DataFrame, term_col: str, algorithm: str, q: int, block_size: int) -> DataFrame:
-    """Terms in sorted order grouped into blocks of at most ``block_size`` (block, terms[])."""
+def _sized(df: DataFrame, col: str, name: str, algorithm: str, q: int) -> DataFrame:
+    """Distinct strings with the size that bounds a score: number of q-grams or of characters
+    (0 for all where no size bounds the measure)."""
     from kestrel.functions import distance as DI
-    base = terms.select(F.col(term_col).alias("term")).where(F.col("term").isNotNull()).distinct()
-    idx = dense_index(base, ["term"])
-    item = F.struct("term", DI.gram_tags(F.col("term"), q).alias("grams")) if algorithm in DI.TOKEN \
-        else F.struct("term")
-    return idx.groupBy(F.floor(F.col("idx") / block_size).alias("block")) \
-        .agg(F.collect_list(item).alias("terms"))
+    base = df.select(F.col(col).alias(name)).where(F.col(name).isNotNull()).distinct()
+    if algorithm in DI.TOKEN:
+        base = base.withColumn("grams", DI.gram_tags(F.col(name), q))
+    if not DI.bounded(algorithm, q):
+        return base.withColumn("size", F.lit(0))
+    return base.withColumn("size", F.size("grams") if algorithm in DI.TOKEN else F.length(name))
+
+
+def _size_plan(spark: SparkSession, inputs: DataFrame, terms: DataFrame, algorithm: str, q: int, n: int,
+               block_size: int) -> DataFrame:
+    """Which blocks of terms each input size meets: (in_size, size, chunk, phase, bound).
+
+    Term sizes are ranked by the best score they allow. The first ones that hold n terms are
+    phase 0; a later size is met only by inputs whose n-th best score it can still reach.
+    Distinct sizes are as many as the longest string has characters at most.
+    """
+    from kestrel.functions import distance as DI
+    counts = {r["size"]: r["n"] for r in terms.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = []
+    for (x,) in inputs.select("size").distinct().collect():
+        ranked = sorted(((DI.size_bound(algorithm, x, t, q), abs(x - t), t) for t in counts),
+                        key=lambda r: (-r[0] if algorithm in DI.REVERSE else r[0], r[1], r[2]))
+        seen = 0
+        for bound, _, t in ranked:
+            phase = int(seen >= n and bound is not None and DI.bounded(algorithm, q))
+            rows += [(x, t, c, phase, float(bound)) for c in range(-(-counts[t] // block_size))]
+            seen += counts[t]
+    return spark.createDataFrame(rows, "in_size int, size int, chunk int, phase int, bound double")
 
 
 def textdist_match(inputs: DataFrame, terms: DataFrame, input_col: str, term_col: str, algorithm: str,
@@ -171,43 +194,54 @@ def textdist_match(inputs: DataFrame, terms: DataFrame, input_col: str, term_col
     """Rank every term for every input by ``algorithm``; keep the best ``ncandidates``.
 
     Scores are rounded to 4 places and ranked ascending for distances, descending for
-    similarities, ties by term. Work is a blocked nested loop: each input row meets one
-    block of at most ``block_size`` terms at a time and keeps only its best
-    ``ncandidates`` from that block, so no (input, term) pair row is ever materialised;
-    the per-block winners are merged by a top-n window.
+    similarities, ties by term. Terms are grouped by size into blocks of at most
+    ``block_size``; a pair's sizes bound its score (see ``distance.size_bound``). An input
+    first meets the blocks that allow the best scores, until they hold ``ncandidates`` terms,
+    and then only the blocks whose bound reaches its n-th best score, so blocks that cannot
+    matter are never scored. Only the best of each block leave it: no (input, term) pair row is
+    ever materialised. Measures without a bound by size meet every block.
     """
     from kestrel.functions import distance as DI
     if algorithm not in DI.FEASIBLE:
         raise ValueError(f"{algorithm} is not among feasible distance algorithms")
     desc = algorithm in DI.REVERSE
-    blocks = term_blocks(terms, term_col, algorithm, ngrams, block_size)
-    n_blocks = blocks.count()
-    inp = inputs.select(F.col(input_col).alias("input")).where(F.col("input").isNotNull()).distinct()
-    if n_blocks == 0:
-        return inp.select("input", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("match"),
-                          F.lit(None).cast("double").alias("score")).where(F.lit(False))
-    rows = inp.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
-    rows = rows.join(blocks, "block")
-    a = F.col("input")
-    if algorithm in DI.TOKEN:
-        rows = rows.withColumn("_ga", DI.gram_tags(a, ngrams))
-        ga = F.col("_ga")
-        scored = F.transform("terms", lambda t: F.struct(
-            DI.token_similarity_tags(algorithm, ga, t["grams"], a == t["term"]).alias("s"), t["term"].alias("term")))
-    elif algorithm in ("Hamming", "Levenshtein") and ngrams == 1:
-        fn = DI.hamming if algorithm == "Hamming" else DI.levenshtein
-        scored = F.transform("terms", lambda t: F.struct(fn(a, t["term"]).alias("s"), t["term"].alias("term")))
-    else:
-        names = F.transform("terms", lambda t: t["term"])
-        vals = DI.block_scores_udf(algorithm, ngrams)(a, names)
-        scored = F.zip_with(vals, names, lambda s, t: F.struct(s.alias("s"), t.alias("term")))
-    keyed = F.transform(scored, lambda x: F.struct(
-        (-F.round(x["s"], 4) if desc else F.round(x["s"], 4)).alias("k"), x["term"].alias("term")))
-    best = F.slice(F.sort_array(keyed), 1, ncandidates)
-    per_block = rows.select("input", F.explode(best).alias("c")) \
-        .select("input", F.col("c.term").alias("match"),
-                (-F.col("c.k") if desc else F.col("c.k")).alias("score"))
-    return top_n(per_block, ncandidates, descending=desc).select("input", "rank", "match", "score")
+    term = cut_lineage(_sized(terms, term_col, "term", algorithm, ngrams))
+    inp = cut_lineage(_sized(inputs, input_col, "input", algorithm, ngrams))
+    token = algorithm in DI.TOKEN
+    plan = _size_plan(inputs.sparkSession, inp, term, algorithm, ngrams, ncandidates, block_size)
+    chunks = plan.groupBy("size").agg((F.max("chunk") + 1).alias("chunks"))
+    item = F.struct("term", "grams") if token else F.struct("term")
+    blocks = term.join(chunks, "size").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int")) \
+        .groupBy("size", "chunk").agg(F.collect_list(item).alias("terms"))
+
+    def best_of(rows: DataFrame) -> DataFrame:
+        """Best candidates of each (input, block)."""
+        met = rows.join(blocks, ["size", "chunk"])
+        x = F.col("input")
+        if token:
+            scored = F.transform("terms", lambda t: F.struct(
+                DI.token_similarity_tags(algorithm, F.col("grams"), t["grams"], x == t["term"]).alias("s"), t["term"].alias("term")))
+        elif algorithm in ("Hamming", "Levenshtein") and ngrams == 1:
+            fn = DI.hamming if algorithm == "Hamming" else DI.levenshtein
+            scored = F.transform("terms", lambda t: F.struct(fn(x, t["term"]).alias("s"), t["term"].alias("term")))
+        else:
+            names = F.transform("terms", lambda t: t["term"])
+            scored = F.zip_with(DI.block_scores_udf(algorithm, ngrams)(x, names), names,
+                                lambda s, t: F.struct(s.alias("s"), t.alias("term")))
+        keyed = F.transform(scored, lambda c: F.struct(
+            (-F.round(c["s"], 4) if desc else F.round(c["s"], 4)).alias("k"), c["term"].alias("term")))
+        return met.select("input", F.explode(F.slice(F.sort_array(keyed), 1, ncandidates)).alias("c")) \
+            .select("input", F.col("c.term").alias("match"), (-F.col("c.k") if desc else F.col("c.k")).alias("score"))
+
+    rows = inp.withColumnRenamed("size", "in_size").join(plan, "in_size")
+    first = best_of(rows.where("phase = 0"))
+    if not DI.bounded(algorithm, ngrams):
+        return top_n(first, ncandidates, descending=desc).select("input", "rank", "match", "score")
+    first = cut_lineage(top_n(first, ncandidates, descending=desc).drop("rank"))
+    worst = first.groupBy("input").agg((F.min if desc else F.max)("score").alias("worst"))
+    reach = F.round("bound", 4) >= F.col("worst") if desc else F.round("bound", 4) <= F.col("worst")
+    rest = best_of(rows.where("phase = 1").join(worst, "input").where(reach))
+    return top_n(first.unionByName(rest), ncandidates, descending=desc).select("input", "rank", "match", "score")
 
 
 # ---------------------------------------------------------------------------
