@@ -8,7 +8,7 @@ without writing anything.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 40
@@ -30,15 +30,15 @@ def _tree(key: Column, cuts: list[Column], low: int, high: int) -> Column:
 def range_bucket(df: DataFrame, cols: list[str], descending: bool = False) -> Column:
     """Bucket number of each row in the order of ``cols`` (nulls first; reversed if descending).
 
-    As many buckets as the rows fill, one per shuffle partition at most. One pass counts the
-    rows and collects at most ``SAMPLE_PER_BUCKET`` key rows per shuffle partition.
+    As many buckets as the rows fill, one per shuffle partition at most. At most
+    ``SAMPLE_PER_BUCKET`` key rows per shuffle partition are collected.
     """
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     types = {c: df.schema[c].dataType.simpleString() for c in cols}
-    size = Observation()
-    sample = df.select(*cols).observe(size, F.count(F.lit(1)).alias("n")) \
-        .orderBy(F.rand(11)).limit(SAMPLE_PER_BUCKET * parts).collect()
-    buckets = min(parts, -(-size.get["n"] // ROWS_PER_BUCKET))
+    most = SAMPLE_PER_BUCKET * parts
+    sample = df.select(*cols).orderBy(F.rand(11)).limit(most).collect()
+    size = len(sample) if len(sample) < most else df.select(cols[0]).count()
+    buckets = min(parts, -(-size // ROWS_PER_BUCKET))
     if buckets < 2:
         return F.lit(0)
     kept = df.sparkSession.createDataFrame(sample, df.select(*cols).schema) \
