@@ -327,9 +327,10 @@ def mapping_validation(candidates: DataFrame, truth: DataFrame, ncandidates: int
 def bow_counts(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 2),
                min_token_len: int = 1) -> DataFrame:
     """(key, term, count) for word n-grams with n in ``ngram_range``: tokens by a regex,
-    n-grams of two or more words by Spark ML's ``NGram`` (JVM, one pass per n)."""
+    n-grams of two or more words by Spark ML's ``NGram`` (JVM, one pass per n). The texts are
+    dealt out by key first, so what is shuffled is each text once, not its n-grams."""
     from pyspark.ml.feature import NGram
-    tok = df.select(F.col(key).alias("key"), T.word_tokens(F.col(text), min_token_len).alias("_g1"))
+    tok = df.repartition(F.col(key)).select(F.col(key).alias("key"), T.word_tokens(F.col(text), min_token_len).alias("_g1"))
     cols = []
     for n in range(ngram_range[0], ngram_range[1] + 1):
         if n > 1:

@@ -52,9 +52,7 @@ def q_load_batches(t: Tables):
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate",
                            F.year("l_shipdate").alias("batch"))
     FS.dump_batches(li, path, "batch")
-    years = [r[0] for r in li.select("batch").distinct().collect()]
-    out = FS.load_batches(t.spark, [f"{path}/batch={y}" for y in years], key=["l_orderkey"],
-                          order_by=["l_linenumber", "l_shipdate", "l_quantity"], base_path=path)
+    out = FS.load_batches(t.spark, [path], key=["l_orderkey"], order_by=["l_linenumber", "l_shipdate", "l_quantity"])
     return out.select("l_orderkey", "l_linenumber", "l_quantity", F.col("batch").cast("int").alias("batch"))
 
 
