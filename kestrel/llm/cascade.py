@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.llm.staging import text_batches
 from kestrel.llm.textarrays import SPACED, Texts, Words, ngrams, ragged, runs, slices, span_digests, texts_of
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -166,7 +167,7 @@ def quality_cascade(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names the first rule that rejected. The sample (``sample_docs`` documents) decides the
     order of the rules and nothing else.
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sample = source.select("text").limit(sample_docs).toArrow()
     order = [x["rule"] for x in measured_order(texts_of(sample.column("text")), rules)]
     ordered = sorted(rules, key=lambda r: order.index(r.name))

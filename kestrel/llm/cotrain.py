@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.cascade import Features
-from kestrel.llm.textarrays import ALNUM, Texts, Words, mix, slices, span_digests, texts_of
+from kestrel.llm.staging import text_batches
+from kestrel.llm.textarrays import ALNUM, Texts, Words, mix, slices, span_digests, texts_of, with_field
 
 BUCKETS = 1 << 20
 PREFIX = 4
@@ -197,8 +198,8 @@ def co_train(text: tuple[np.ndarray, np.ndarray], meta: tuple[np.ndarray, np.nda
 
 
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"),
-                       *[F.col(c).cast("string").alias(c) for c in META])
+    return text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"),
+                                     *[F.col(c).cast("string").alias(c) for c in META])
 
 
 def _sample(source: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> DataFrame:
@@ -212,7 +213,7 @@ def _sample(source: DataFrame, labels: DataFrame, max_labelled: int, max_pool: i
 
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                      max_labelled: int = 10000, max_pool: int = 5000, rounds: int = 3, per_round: int = 500,
+                      max_labelled: int = 8000, max_pool: int = 3000, rounds: int = 3, per_round: int = 300,
                       sure: float = 0.95) -> CoTrained:
     """Fit both views on at most ``max_labelled`` labelled and ``max_pool`` other documents."""
     bad = F.greatest(1 - F.col("quality").cast("int"), F.col("toxic").cast("int"))  # nulls are skipped
@@ -266,12 +267,12 @@ def drop_rejected(docs: DataFrame, model: CoTrained, doc_id: str = "doc_id", tex
                   threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, all columns, in one pass."""
     names = docs.columns
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole"), F.col(text).cast("string").alias("text"),
-                        *[F.col(c).cast("string").alias(c) for c in META])
+    plain = text_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole"),
+                                      *[F.col(c).cast("string").alias(c) for c in META])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(with_field(batch, "whole", text, "\0text"), "\0text"):
                 n = len(texts)
                 score = model.scores(model.text.score(*text_features(texts), n), model.meta.score(*meta_features(part), n))[2]
                 yield pa.RecordBatch.from_arrays([part.column(0)], names=["whole"]).filter(pa.array(score < threshold))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.llm.staging import text_batches
 from kestrel.llm.textarrays import slices
 from kestrel.llm.tokens import library_encoder, worker_encoder
 
@@ -25,7 +26,7 @@ BUCKET_BITS = 10
 
 def token_lengths(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens) of every whole text; no special tokens are added."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_encoder(library_encoder, tokenizer)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.llm.staging import text_batches
 from kestrel.llm.textarrays import ALNUM, Words, slices
 
 #: Base phrases and their labels.
@@ -202,7 +203,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     detections): ``detections`` lists the accepted (label, form, start, end) with character
     positions, ``score`` is that of the strongest detection (0 without any).
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     item = pa.struct([("label", pa.string()), ("form", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 

@@ -20,6 +20,20 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows and bytes of a batch that goes to a Python worker; a batch of texts is otherwise a few hundred MB.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends texts to Python in small batches (given settings are kept)."""
+    spark = df.sparkSession
+    known = spark.sparkContext.getConf()
+    for key, value in BATCH.items():
+        if not known.contains(key):
+            spark.conf.set(key, value)
+    return df
+
+
 #: Spark removes a query's shuffle files when the query ends (else when the driver collects garbage).
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

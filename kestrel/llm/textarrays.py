@@ -188,6 +188,13 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         lo = hi
 
 
+def with_field(batch: pa.RecordBatch, struct: str, field: str, name: str = "text") -> pa.RecordBatch:
+    """The batch with a string field of a struct column as a column of its own (not copied)."""
+    column = batch.column(batch.schema.get_field_index(struct))
+    part = column.field(column.type.get_field_index(field)).cast(pa.string())
+    return pa.RecordBatch.from_arrays([*batch.columns, part], names=[*batch.schema.names, name])
+
+
 def runs(*keys: np.ndarray) -> np.ndarray:
     """Starts of runs of equal neighbours (all keys), with the length at the end."""
     n = len(keys[0])

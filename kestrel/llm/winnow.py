@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.staging import stage
+from kestrel.llm.staging import stage, text_batches
 from kestrel.llm.textarrays import ALNUM, Words, mix, ngrams, slices, texts_of, window_minima
 
 BITS = 23
@@ -168,7 +168,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     where hit stretches begin and end, alternately. Contaminated: at least ``percent`` in a
     hundred of the words, and any, are hit.
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"),
+    source = text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"),
                          F.col(text).cast("string").alias("text"))
     bench = stage(benchmark_fingerprints(
         items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"),
