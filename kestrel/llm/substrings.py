@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.fmindex import FMIndex
-from kestrel.llm.staging import drop_staged, stage
-from kestrel.llm.textarrays import SPACED, Texts, Words, _spans, distinct, mix, ngrams, runs, slices, window_minima
+from kestrel.llm.staging import drop_staged, stage, text_batches
+from kestrel.llm.textarrays import SPACED, Texts, Words, _spans, distinct, mix, ngrams, runs, slices, window_minima, with_field
 
 
 class Anchored:
@@ -221,16 +221,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
     body = F.coalesce(F.col("whole")[text].cast("string"), F.lit(""))
+    named = text_batches(named)
     source = named.select("whole", F.coalesce(F.col("whole")[doc_id].cast("long"), F.lit(-2 ** 63).cast("long")).alias("id"),
-                          F.xxhash64(body, F.col("whole")[doc_id].isNull()).alias("row"), body.alias("text"))
-    gone = gone_windows(source.select("id", "row", "text"), width, anchor, hot)
-    joined = source.join(gone, ["id", "row"], "left").select("whole", "text", "gone")
+                          F.xxhash64(body, F.col("whole")[doc_id].isNull()).alias("row"))
+    gone = gone_windows(source.select("id", "row", body.alias("text")), width, anchor, hot)
+    joined = source.join(gone, ["id", "row"], "left").select("whole", "gone")  # the text goes along once, in the row
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            for part, texts in slices(with_field(batch, "whole", text, "\0text"), "\0text"):
                 words = Words(texts, SPACED)
-                n, lists = len(words), part.column(2)
+                n, lists = len(words), part.column(1)
                 sizes = np.asarray(lists.value_lengths().fill_null(0))
                 pairs = lists.flatten()
                 start = np.repeat(words.first[:-1], sizes) + np.asarray(pairs.field(0))
