@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.staging import stage
+from kestrel.llm.staging import drop_staged, stage, write_cleanly, text_batches
 from kestrel.llm.textarrays import runs, slices
 from kestrel.llm.tokens import library_encoder, worker_encoder
 
@@ -186,7 +186,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
                     end_id: int = 2, max_bits: int = 20) -> None:
     """Tokenise every whole text and write the file set into folder ``path``."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     order = ["doc_id", F.xxhash64("text")]
     plain = stage(source.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
@@ -211,8 +211,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "d
             yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "position", "n_ids", "checkpoints", "bits",
                                                              "doc_id", "doc_no", "piece_at", "piece_n"])
 
-    plain.mapInArrow(pack, f"{_BLOCK_KEYS}, checkpoints array<int>, bits binary, {_piece_keys(kind)}") \
-        .write.option("compression", "lz4_raw").parquet(f"{path}/blocks")
+    packed = plain.mapInArrow(pack, f"{_BLOCK_KEYS}, checkpoints array<int>, bits binary, {_piece_keys(kind)}")
+    write_cleanly(packed, f"{path}/blocks", "lz4_raw")
+    drop_staged(plain)
 
 
 def read_code(spark: SparkSession, path: str) -> Code:
