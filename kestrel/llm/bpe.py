@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.llm.staging import text_batches
 from kestrel.llm.textarrays import ragged, slices
 from kestrel.llm.tokens import ChunkEncoder, worker_encoder
 
@@ -100,7 +101,7 @@ class Vocabulary:
                     top, right_top, a = ra, False, self.parts[a][1]
                 else:
                     top, right_top, b = rb, True, self.parts[b][0]
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -149,7 +150,7 @@ def backtracking_encoder(path: str) -> ChunkEncoder:
         for word in split.findall(chunk):
             ids = known.get(word)
             if ids is None:
-                if len(known) > 500_000:
+                if len(known) > 150_000:
                     known.clear()
                 ids = known[word] = vocab.encode_word(word.encode())
             out += ids
@@ -169,7 +170,7 @@ def backtracking_encoder(path: str) -> ChunkEncoder:
             sizes.append(len(ids))
         return np.array(found, np.uint32), np.array(sizes, np.int64)
 
-    return ChunkEncoder(chunks, list(vocab.special))
+    return ChunkEncoder(chunks, list(vocab.special), most=400_000)
 
 
 class OffsetDecoder:
@@ -200,7 +201,7 @@ def worker_decoder(path: str) -> OffsetDecoder:
 
 
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def bpe_encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
