@@ -26,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.components import components
-from kestrel.llm.staging import stage
+from kestrel.llm.staging import stage, text_batches
 from kestrel.llm.textarrays import SPACED, Texts, Words, _spans, mix, ngrams, ragged, runs, slices
 
-DIMENSIONS = 64  # coordinates of a count vector
+LEAST_DIMENSIONS, MOST_DIMENSIONS = 64, 1 << 16  # coordinates of a count vector
 _U = np.uint64
 
 
@@ -181,21 +182,56 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_vector(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(grams) & _U(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS)
+    """Group counts of a set: at least two coordinates a shingle, so that few shingles that
+    differ meet in one and the bound is close to the overlap."""
+    n = len(grams)
+    size = min(MOST_DIMENSIONS, max(LEAST_DIMENSIONS, 1 << max(0, 2 * n - 1).bit_length()))
+    return np.bincount((mix(grams) & _U(size - 1)).astype(np.int64), minlength=size)
+
+
+def pack_point(point: np.ndarray) -> bytes:
+    width = 1 if point.max(initial=0) < 1 << 8 else 2 if point.max() < 1 << 16 else 4
+    return bytes([width]) + point.astype(f"<u{width}").tobytes()
+
+
+def unpack_point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", -1, 1)
+
+
+def fold(points: np.ndarray, size: int) -> np.ndarray:
+    """Points with fewer coordinates (groups by the low bits of the same digests)."""
+    return points if points.shape[1] == size else points.reshape(len(points), -1, size).sum(1, dtype=np.uint32)
+
+
+def shared(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Sum of coordinate minima over the last axis; no sum is over ``most`` (a set's size)."""
+    return np.minimum(a, b).sum(-1, dtype=np.uint16 if most < 1 << 16 else np.int64).astype(np.int64)
+
+
+def overlap_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Sum of coordinate minima of each pair of packed points."""
+    x, y = list(map(unpack_point, a)), list(map(unpack_point, b))
+    sizes = np.array([[len(p), len(q)] for p, q in zip(x, y)]).reshape(-1, 2)
+    out = np.zeros(len(x), np.int64)
+    for m, n in np.unique(sizes, axis=0).tolist():
+        rows = np.flatnonzero((sizes[:, 0] == m) & (sizes[:, 1] == n))
+        for part in np.array_split(rows, -(-len(rows) * max(m, n) // (1 << 20))):
+            least = min(m, n)
+            out[part] = np.minimum(fold(np.stack([x[r] for r in part]), least), fold(np.stack([y[r] for r in part]), least)).sum(1, dtype=np.int64)
+    return out
 
 
 def _class_sets(size: int):
-    """(class, n, vector, shingles) of one text per class."""
+    """(class, n, shingles) of (class, text) rows whose text is of that class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 n, doc, grams = shingle_sets(texts, size)
                 cut = np.append(0, np.cumsum(n))
-                points = [count_vector(grams[a:b]).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+                own, wanted = pa.array(class_digests(n, doc, grams)), part.column(0)
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(class_digests(n, doc, grams)), pa.array(n.astype(np.int32)),
-                                                  pa.array(points, pa.binary()), lists],
-                                                 names=["class", "n", "point", "shingles"])
+                out = pa.RecordBatch.from_arrays([own, pa.array(n.astype(np.int32)), lists], names=["class", "n", "shingles"])
+                yield out.filter(pc.or_(pc.is_null(wanted), pc.equal(wanted, own).fill_null(False)))
 
     return run
 
@@ -231,11 +267,11 @@ class CountTree:
             for depth in range(len(self.levels) - 1, -1, -1):
                 top, least, most = self.levels[depth]
                 # a member of size m in the box has at most min(sum of minima, n, m) shared shingles
-                bound = np.minimum(np.minimum(top[nodes], point).sum(1), np.minimum(n, most[nodes]))
+                bound = np.minimum(shared(top[nodes], point, n), np.minimum(n, most[nodes]))
                 nodes = nodes[may_link(n, np.maximum(bound, least[nodes]), bound, percent)]
                 below = len(self.levels[depth - 1][0]) if depth else len(self.points)
                 nodes = ragged(nodes * self.FANOUT, np.minimum(self.FANOUT, below - nodes * self.FANOUT))
-        overlap = np.minimum(self.points[nodes], point).sum(1)
+        overlap = shared(self.points[nodes], point, n)
         return self.order[nodes[may_link(n, self.n[nodes], overlap, percent)]]
 
 
@@ -257,28 +293,80 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _tree_join(percent: int):
-    """Pairs of a group of (block, i, j, side, class, label, n, point) over the bound, across labels."""
-    def points(group: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
-        return np.stack([np.frombuffer(group.column(7)[int(r)].as_py(), np.int32) for r in rows])
+def block_pairs(points: list[np.ndarray], n: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray,
+                percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of left and right members) over the bound, across labels.
 
+    Members are indexed by the size of their points. Sets that link are of similar size, so
+    a member meets the tree of its own point size and, folded, that of half of it.
+    """
+    size = np.array([len(p) for p in points])
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def meet(query: np.ndarray, member: np.ndarray, coordinates: int) -> None:
+        if not len(query) or not len(member):
+            return
+        q = np.concatenate([fold(points[r][None], coordinates) for r in query])
+        m = np.stack([points[r] for r in member])
+        if len(member) * coordinates <= 1 << 18:  # no more than a leaf holds: all bounds at once, in runs of queries
+            step = max(1, (1 << 21) // (len(member) * coordinates))
+            for lo in range(0, len(query), step):
+                over = may_link(n[query[lo: lo + step]][:, None], n[member][None],
+                                shared(q[lo: lo + step, None], m[None], int(n[query].max())), percent)
+                x, y = np.nonzero(over)
+                found_a.append(query[lo + x])
+                found_b.append(member[y])
+        else:
+            tree = CountTree(m, n[member])
+            for r, p in zip(query.tolist(), q):
+                hit = member[tree.search(p, int(n[r]), percent)]
+                found_a.append(np.full(len(hit), r))
+                found_b.append(hit)
+
+    for coordinates in np.unique(size).tolist():
+        own = size == coordinates
+        for a, b in ((left, right),) if left is right else ((left, right), (right, left)):
+            if a is left:
+                meet(a[own[a]], b[own[b]], coordinates)
+            meet(a[size[a] == 2 * coordinates], b[own[b]], coordinates)
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    keep = label[a] != label[b]
+    return a[keep], b[keep]
+
+
+def central(points: list[np.ndarray], n: np.ndarray, count: int) -> np.ndarray:
+    """Members whose points lie closest to the mean point, the most likely to link with many."""
+    size = min(len(p) for p in points)
+    folded = np.concatenate([fold(p[None], size).astype(np.float32) for p in points])
+    near = np.minimum(folded, folded.mean(0)).sum(1) / np.maximum(n, 1)
+    return np.argsort(-near, kind="stable")[:count]
+
+
+def _tree_join(percent: int, centres: int = 0):
+    """Pairs of a group of (block, i, j, side, class, label, n, point) over the bound, across labels;
+    with ``centres`` only those of that many central members."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+
+        def pairs() -> pa.RecordBatch:
+            """Pairs of some blocks, each once."""
+            pair = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
         for group in _sorted_groups(batches, 3):
             side, name, label, n = (np.asarray(group.column(k)) for k in (3, 4, 5, 6))
-            same = group.column(1)[0].as_py() == group.column(2)[0].as_py()
             left = np.flatnonzero(side == 0)
-            right = left if same else np.flatnonzero(side == 1)
-            if not len(left) or not len(right):
-                continue
-            tree = CountTree(points(group, right), n[right])
-            found_a, found_b = [], []
-            for r, p in zip(left.tolist(), points(group, left)):
-                met = right[tree.search(p, int(n[r]), percent)]
-                met = met[(label[met] != label[r]) & ((met > r) if same else True)]
-                found_a.append(np.full(len(met), name[r]))
-                found_b.append(name[met])
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            right = left if group.column(1)[0].as_py() == group.column(2)[0].as_py() else np.flatnonzero(side == 1)
+            points = [unpack_point(x) for x in group.column(7).to_pylist()]
+            if centres:
+                left, right = central(points, n, centres), np.arange(len(n))
+            a, b = (name[x] for x in block_pairs(points, n, label, left, right, percent))
+            found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+            if sum(map(len, found)) > 1 << 20:
+                yield pairs()
+        if found:
+            yield pairs()
 
     return run
 
@@ -287,10 +375,8 @@ def _bounded(percent: int):
     """Pairs (a, b, n_a, point_a, n_b, point_b) whose bound allows a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.int32).reshape(-1, DIMENSIONS) for k in (3, 5))
-            ok = may_link(np.asarray(batch.column(2)), np.asarray(batch.column(4)), np.minimum(x, y).sum(1), percent)
+            bound = overlap_bounds(batch.column(3).to_pylist(), batch.column(5).to_pylist())
+            ok = may_link(np.asarray(batch.column(2)), np.asarray(batch.column(4)), bound, percent)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -312,61 +398,84 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Returns (doc_id, n_shingles, component_id): the component is named by its smallest id.
     Blocks with more than ``chunk`` members are searched chunk against chunk, in tasks of their own.
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark, kind = docs.sparkSession, source.schema["doc_id"].dataType.simpleString()
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 n, doc, grams = shingle_sets(texts, shingle)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(class_digests(n, doc, grams))],
-                                                 names=["doc_id", "n", "class"])
+                cut = np.append(0, np.cumsum(n)).tolist()
+                points = [pack_point(count_vector(grams[a:b])) for a, b in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(class_digests(n, doc, grams)),
+                                                  pa.array(points, pa.binary())], names=["doc_id", "n", "class", "point"])
 
-    member = stage(source.mapInArrow(sized, f"doc_id {kind}, n long, class long"), "classes")
+    member = stage(source.mapInArrow(sized, f"doc_id {kind}, n long, class long, point binary"), "classes")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = source.select("text").mapInArrow(_packed(shingle, percent, 16 * partitions), "bucket int, data binary")
     blocks = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket") \
         .mapInArrow(_blocks, "block long, class long, low long")
     blocks = stage(blocks.distinct(), "blocks")
-
-    # one text of every class that shares a block
-    needed = blocks.select("class").distinct()
-    chosen = member.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(needed, "class")
-    unnamed = source.filter("doc_id is null").select("text")  # rows without an id bring their texts themselves
-    texts = source.join(chosen.select("doc_id"), "doc_id", "left_semi").select("text").unionByName(unnamed)
-    sets = texts.mapInArrow(_class_sets(shingle), "class long, n int, point binary, shingles array<long>")
-    sets = stage(sets.join(needed, "class", "left_semi").dropDuplicates(["class"]), "sets")
-    light = sets.select("class", "n", "point")
+    light = member.filter("n > 0").select("class", "n", "point").dropDuplicates(["class"])
 
     star = blocks.filter("class <> low").select(F.least("class", "low").alias("a"), F.greatest("class", "low").alias("b")).distinct()
     pairs = star
     for s in "ab":
         pairs = pairs.join(light.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("point").alias(f"p_{s}")), s)
-    pairs = pairs.select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(_bounded(percent), "a long, b long")
-    links = stage(_verified(pairs, sets, percent), "star")
+    near = stage(pairs.select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(_bounded(percent), "a long, b long"), "near")
+
+    def sets_of(classes: DataFrame, name: str) -> DataFrame:
+        """Sets of one text of every class, of which only these texts are read again."""
+        named = member.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(classes, "class")
+        texts = source.join(named.filter("doc_id is not null").select("doc_id", "class"), "doc_id").select("class", "text")
+        schema = "class long, n int, shingles array<long>"
+        unnamed = source.filter("doc_id is null").select(F.lit(None).cast("long").alias("class"), "text") \
+            .mapInArrow(_class_sets(shingle), schema) \
+            .join(named.filter("doc_id is null").select("class"), "class", "left_semi").dropDuplicates(["class"])
+        return stage(texts.mapInArrow(_class_sets(shingle), schema).unionByName(unnamed), name)
+
+    def classes_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+
+    sets = sets_of(classes_of(near), "sets")
+    links = stage(_verified(near, sets, percent), "star")
     label = components(links)
 
-    # blocks whose classes still lie in different components
-    marked = blocks.join(label.withColumnRenamed("node", "class"), "class", "left") \
-        .withColumn("label", F.coalesce("component", "class")).select("block", "class", "label")
-    marked = stage(marked, "marked")
-    open_ = marked.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members")) \
-        .filter("x <> y").select("block", F.ceil(F.col("members") / chunk).cast("int").alias("chunks"))
-    rows = marked.join(open_, "block").join(light, "class") \
-        .withColumn("c", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
-    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(
-        F.least("c", o).alias("i"), F.greatest("c", o).alias("j"), (F.col("c") > o).cast("int").alias("side"))))
-    rows = rows.select("block", "class", "label", "n", "point", meet.alias("m")) \
-        .select("block", F.col("m.i").alias("i"), F.col("m.j").alias("j"), F.col("m.side").alias("side"), "class", "label", "n", "point")
-    found = rows.repartition(partitions, "block", "i", "j").sortWithinPartitions("block", "i", "j") \
-        .mapInArrow(_tree_join(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    rest = stage(_verified(found, sets, percent), "rest")
-
-    both = label.toDF("node", "parent")
-    joined = components(rest.join(both.toDF("a", "pa"), "a", "left").join(both.toDF("b", "pb"), "b", "left")
-                        .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
-    named = member.join(label.toDF("class", "c1"), "class", "left").withColumn("c1", F.coalesce("c1", "class")) \
-        .join(joined.toDF("c1", "c2"), "c1", "left").withColumn("group", F.coalesce("c2", "c1"))
+    def open_rows(label: DataFrame) -> DataFrame:
+        """Members of the blocks whose classes still lie in different components, dealt to chunk pairs."""
+        marked = stage(blocks.join(label.withColumnRenamed("node", "class"), "class", "left")
+                       .withColumn("label", F.coalesce("component", "class")).select("block", "class", "label"), "marked")
+        split = marked.groupBy("block").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members")) \
+            .filter("x <> y").select("block", F.ceil(F.col("members") / chunk).cast("int").alias("chunks"))
+        rows = marked.join(split, "block").join(light, "class") \
+            .withColumn("c", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+        meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(
+            F.least("c", o).alias("i"), F.greatest("c", o).alias("j"), (F.col("c") > o).cast("int").alias("side"))))
+        return rows.select("block", "class", "label", "n", "point", meet.alias("m")) \
+            .select("block", F.col("m.i").alias("i"), F.col("m.j").alias("j"), F.col("m.side").alias("side"), "class", "label", "n", "point")
+
+    def candidates(rows: DataFrame, checked: DataFrame, centres: int, name: str) -> DataFrame:
+        met = rows.repartition(partitions, "block", "i", "j").sortWithinPartitions("block", "i", "j") \
+            .mapInArrow(_tree_join(percent, centres), "a long, b long").distinct()
+        return stage(met.join(checked, ["a", "b"], "left_anti"), name)
+
+    def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+        """Components (node, component) after more links between them."""
+        both = label.toDF("node", "parent")
+        over = components(links.join(both.toDF("a", "pa"), "a", "left").join(both.toDF("b", "pb"), "b", "left")
+                          .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
+        old = label.join(over.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        return stage(old.unionByName(over.join(label.select("node"), "node", "left_anti")), "merged")
+
+    # central members first: they join most of a group whose smallest member is an outlier
+    checked, known = near, sets
+    for centres, name in ((3, "central"), (0, "found")):
+        pairs = candidates(open_rows(label), checked, centres, name)
+        known = known.unionByName(sets_of(classes_of(pairs).join(known.select("class"), "class", "left_anti"), "sets"))
+        label = merged(label, stage(_verified(pairs, known, percent), "rest"))
+        checked = checked.unionByName(pairs)
+
+    named = member.join(label.toDF("class", "c1"), "class", "left").withColumn("group", F.coalesce("c1", "class"))
     named = named.select("doc_id", "n", F.when(F.col("n") > 0, F.col("group")).alias("group"))
     smallest = named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     out = named.join(smallest, "group", "left")

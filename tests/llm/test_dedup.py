@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from kestrel.llm.components import components
-from kestrel.llm.countjoin import CountTree, jaccard_components, may_link
+from kestrel.llm.countjoin import CountTree, block_pairs, count_vector, jaccard_components, may_link, overlap_bounds, pack_point
 from kestrel.llm.fmindex import FMIndex, suffix_array
 from kestrel.llm.substrings import removal_digest, remove_repeats
 from tests.llm.cases import documents, frame, words
@@ -150,6 +150,27 @@ def test_count_tree():
         assert sorted(tree.search(points[i], int(n[i]), 80).tolist()) == want.tolist()
 
 
+def test_block_pairs_of_all_sizes():
+    """Every linking pair is found, and every pair found is over the bound."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (3, 40, 300, 450, 515, 1000, 1030, 3000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for _ in range(9):
+            sets.append(np.unique(np.where(rng.random(n) < rng.choice([0.02, 0.1, 0.9]), rng.integers(0, 2**63, n).astype(np.uint64), base)))
+    n, points = np.array([len(x) for x in sets]), [count_vector(x) for x in sets]
+    label, every = np.arange(len(sets)), np.arange(len(sets))
+    linked = {(i, j) for i in every for j in every if i < j and may_link(n[i], n[j], len(np.intersect1d(sets[i], sets[j])), 80)}
+    packed = [pack_point(p) for p in points]
+    for left, right in ((every, every), (every[::2], every[1::2])):
+        a, b = block_pairs(points, n, label, left, right, 80)
+        got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+        want = linked if left is right else {p for p in linked if (p[0] + p[1]) % 2}
+        assert len(want) > 10 and want <= got and len(got) < 3 * len(want)
+        bound = overlap_bounds([packed[x] for x, _ in got], [packed[y] for _, y in got])
+        assert all(may_link(n[x], n[y], o, 80) for (x, y), o in zip(got, bound))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] \
