@@ -98,8 +98,14 @@ def _segments(width: int, anchor: int):
                 ids, rows = np.asarray(part.column(1))[doc], np.asarray(part.column(2))[doc]
                 content = _spans(a.digest, start, start + count + width - 1, "word")
                 order = np.lexsort((number, rows, ids, content))
-                kept = np.zeros(len(start), bool)
-                kept[order[runs(content[order])[:-1]]] = True  # the first of equal segments; the others are gone
+                edge = runs(content[order])
+                lead = np.empty(len(start), np.int64)
+                lead[order] = np.repeat(order[edge[:-1]], np.diff(edge))
+                # the first of equal segments is kept, others are gone; the first's own place in a repeated row is neither
+                once = (lead == np.arange(len(start))) | (ids != ids[lead]) | (rows != rows[lead]) | (number != number[lead])
+                start, count, shard, doc, number, ids, rows, lead = \
+                    (x[once] for x in (start, count, shard, doc, number, ids, rows, lead))
+                kept = lead == np.flatnonzero(once)
                 # decided segments of one text that follow each other leave as one
                 follows = np.zeros(len(start), bool)
                 follows[1:] = ~kept[1:] & ~kept[:-1] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + count[:-1])

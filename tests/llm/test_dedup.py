@@ -69,6 +69,19 @@ def test_substrings_small_alphabet(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"hot": 0}, {"anchor": 20}])
+def test_substrings_repeated_rows(spark, how):
+    """A row met again is no earlier place of itself, in one slice or in several."""
+    rng = random.Random(12)
+    own, shared = [words(rng, 70, 10**6) for _ in range(3)], words(rng, 40, 10**6)
+    rows = [(1, own[0], "", "", 0)] * 2 + [(2, own[1] + " " + shared, "", "", 0)] * 3 + [(3, shared + " " + own[2], "", "", 0)] * 2 \
+        + [(None, own[2][:200], "", "", 0)] * 2
+    check_removal(spark, rows, 20, **how)
+    for parts in (1, 7):
+        got = removal_digest(remove_repeats(frame(spark, rows).repartition(parts), **how)).distinct().collect()
+        assert {r["doc_id"]: r["n_removed"] > 0 for r in got} == {None: False, 1: False, 2: False, 3: True}
+
+
 def test_fm_index():
     rng = np.random.default_rng(2)
     for size in (3, 5, 40):
