@@ -1,7 +1,8 @@
 """License scan with ordered signature rules.
 
-A text (A-Z lower-cased) is first searched for the rules' keywords with one Aho-Corasick
-automaton; only rules whose keyword occurs run their regular expression, over the whole text.
+A text (A-Z lower-cased, every run of white space made one blank) is first searched for the
+rules' keywords with one Aho-Corasick automaton; only rules whose keyword occurs run their
+regular expression, over the whole text. Positions of detections are those of the text itself.
 Detections are then resolved in the order of the rules' priority: one whose interval lies
 inside an accepted interval is suppressed. Independently, the places of the base phrases are
 counted over words (runs of digits, letters and characters above ASCII).
@@ -13,7 +14,8 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -28,9 +30,10 @@ from kestrel.llm.textarrays import ALNUM, Words, slices
 #: Base phrases and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Label, keyword that gates the rules, pattern of the license's name (lower case).
+#: Label, keyword that gates the rules and is part of every match, pattern of the license's name (lower case).
 FAMILIES = (
-    ("0bsd", "0bsd", r"(?:0bsd|bsd zero[- ]clause)"),
+    ("0bsd", "0bsd", r"0bsd"),
+    ("0bsd", "bsd zero", r"bsd zero[- ]clause"),
     ("afl-3.0", "academic free", r"academic free license,?(?: version| v\.?)? ?3\.0"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public license,?(?: \(agpl\))?,?(?: version| v\.?)? ?3(?:\.0)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public license"),
@@ -111,6 +114,9 @@ FORMS = (
     ("name", r"(?<!\w){}(?!\w)", 0.75),
 )
 
+#: White space that is not one blank.
+WIDE = re.compile(r"\s{2,}|[^\S ]")
+
 
 @dataclass(frozen=True)
 class Signature:
@@ -149,8 +155,9 @@ class Scanner:
 
     def detections(self, text: str) -> list[tuple[Signature, int, int]]:
         """Accepted detections (rule, start, end): by priority, contained intervals suppressed."""
-        keywords = {k for _, k in self.automaton.iter(text)}
-        found = [(r, *m.span()) for k in keywords for r in self.by_keyword[k] for m in r.pattern.finditer(text)]
+        plain = WIDE.sub(" ", text)
+        keywords = {k for _, k in self.automaton.iter(plain)}
+        found = [(r, *m.span()) for k in keywords for r in self.by_keyword[k] for m in r.pattern.finditer(plain)]
         # a longer notice of the same form comes before a shorter one inside it
         found.sort(key=lambda x: (x[0].score < 0.9, x[1] - x[2], x[0].priority, x[1]))
         kept: list[tuple[Signature, int, int]] = []
@@ -158,13 +165,25 @@ class Scanner:
         for r, a, b in found:
             if not _contained(edge, a, b):
                 kept.append((r, a, b))
-        return sorted(kept, key=lambda x: (x[1], x[2], x[0].priority))
+        kept.sort(key=lambda x: (x[1], x[2], x[0].priority))
+        if len(plain) == len(text) or not kept:
+            return kept
+        origin = _origins(text)
+        return [(r, origin(a), origin(b - 1) + 1) for r, a, b in kept]
+
+
+def _origins(text: str) -> Callable[[int], int]:
+    """Position in ``text`` of a character of its form with single blanks."""
+    blank, shift, lost = [], [], 0
+    for m in WIDE.finditer(text):
+        blank.append(m.start() - lost)
+        lost += m.end() - m.start() - 1
+        shift.append(lost)
+    return lambda p: p + (shift[at - 1] if (at := bisect_left(blank, p)) else 0)
 
 
 def _contained(edge: list[tuple[int, int]], a: int, b: int) -> bool:
     """True if an interval of ``edge`` holds [a, b); else it is put in, in order of start."""
-    from bisect import bisect_right
-
     at = bisect_right(edge, (a, 1 << 62))
     # intervals in ``edge`` do not contain each other, so their ends grow with their starts
     if at and edge[at - 1][1] >= b:

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+from itertools import product
+from re import _parser
 
 from kestrel.llm.cascade import BASE, RULES, quality_cascade
-from kestrel.llm.licenses import BASE_PHRASES, Scanner, scan_licenses, signatures
+from kestrel.llm.licenses import BASE_PHRASES, FAMILIES, Scanner, scan_licenses, signatures
 from kestrel.llm.urlrules import filter_urls
 from kestrel.llm.winnow import contamination_digest, decontaminate
 from tests.llm.cases import documents, frame, words
@@ -149,3 +151,47 @@ def test_license_suppression_brute_force():
             if not any(x <= a and b <= y for _, x, y in kept):
                 kept.append((r, a, b))
         assert scanner.detections(text) == sorted(kept, key=lambda x: (x[1], x[2], x[0].priority))
+
+
+def spelled(parsed):
+    """Texts of a pattern: every alternative, each optional part with and without, one character of a class."""
+    def one(op, arg):
+        kind = str(op)
+        if kind == "LITERAL":
+            return [chr(arg)]
+        if kind == "IN":
+            return [chr(v) if str(k) == "LITERAL" else "0" if str(k) == "RANGE" else {"CATEGORY_SPACE": " "}.get(str(v), "x") for k, v in arg]
+        if kind == "MAX_REPEAT":
+            return [x * n for n in {arg[0], max(arg[0], 1)} for x in spelled(arg[2])]
+        if kind == "BRANCH":
+            return [x for branch in arg[1] for x in spelled(branch)]
+        if kind == "SUBPATTERN":
+            return spelled(arg[3])
+        assert kind == "ANY", kind
+        return ["x"]
+
+    return ["".join(x) for x in product(*(one(*item) for item in parsed))]
+
+
+def test_license_keywords():
+    """Every text of every name contains the keyword that gates its rules, also when its blanks are wide."""
+    scanner = Scanner(signatures())
+    for label, keyword, name in FAMILIES:
+        for text in spelled(_parser.parse(name)):
+            assert re.fullmatch(name, text) and keyword in text, (label, text)
+            for gap in (" ", "\n", "\r\n\t  "):
+                wide = "a  b\n" + text.replace(" ", gap) + "\n c"
+                found = scanner.detections(wide)
+                assert [(a, b) for _, a, b in found] == [(5, len(wide) - 3)], (label, wide, found)
+
+
+def test_license_white_space(spark):
+    texts = ["GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "Apache License\n   Version 2.0, January 2004",
+             "under the Mozilla Public\nLicense", "a BSD\nlicense", "Creative\n  Commons Attribution 4.0", "BSD Zero Clause License",
+             "BSD Zero-Clause", "released under\n\tthe  terms of the\nISC\u00a0\u2028license.", "mit\t license"]
+    want = ["gpl,gpl-3.0", "apache,apache-2.0", "mpl", "bsd", "cc-by", "0bsd", "0bsd", "isc", "mit"]
+    cut = ["GNU GENERAL PUBLIC LICENSE\n                       Version 3", "Apache License\n   Version 2.0", "Mozilla Public\nLicense",
+           "BSD\nlicense", "Creative\n  Commons Attribution 4.0", "BSD Zero Clause", "BSD Zero-Clause", texts[7][:-1], "mit\t license"]
+    got = scan_licenses(frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == want
+    assert [[t[d["start"]: d["end"]] for d in r["detections"]] for t, r in zip(texts, got)] == [[x] for x in cut]
