@@ -2,11 +2,11 @@
 
 Two logistic models see different things: the text view the words of the whole text, their
 beginnings and the text's shape; the metadata view language, source and length. They start
-from the same labelled documents; each round, each model labels the documents of an
-unlabelled pool that it is most sure of, and these join the other model's training set. Both
-scores are calibrated on held-out labels and combined by a third fit over the two. What is
-fitted on is bounded (``max_labelled`` and ``max_pool`` documents, picked by a digest of the
-id); every document is scored, over its whole text.
+from the same labelled documents; each round, both models score all unlabelled documents, and
+those that one is most sure of join the other model's training set. Both scores are calibrated
+on held-out labels and combined by a third fit over the two. What is fitted on is bounded
+(``max_labelled`` documents, picked by a digest of the id, and ``per_round`` of each round and
+view); every document is scored, over its whole text.
 
 A document is bad when it is labelled quality 0 or toxic 1. Defined cases: a null text is an
 empty one; null metadata is a value of its own; several label rows of one id are bad if any
@@ -17,7 +17,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.cascade import Features
-from kestrel.llm.staging import text_batches
+from kestrel.llm.staging import drop_staged, stage, text_batches
 from kestrel.llm.textarrays import ALNUM, Texts, Words, mix, slices, span_digests, texts_of, with_field
 
 BUCKETS = 1 << 20
@@ -42,8 +42,8 @@ def _bins(value: np.ndarray, edges: list[float]) -> np.ndarray:
     return np.searchsorted(np.array(edges), value, side="left")
 
 
-def text_features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of words, word beginnings and shape, each once per text."""
+def text_features(texts: Texts, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of words, word beginnings and shape, each once per text; only buckets marked in ``known``, if given."""
     low = texts.lower()
     words = Words(low, ALNUM)
     long = np.flatnonzero(words.end - words.start > PREFIX)
@@ -56,6 +56,9 @@ def text_features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     doc = np.concatenate([words.doc, words.doc[long], np.tile(np.arange(len(texts)), len(shape))])
     bucket = np.concatenate([_bucket(words.digests(), 1), _bucket(begin, 2)]
                             + [_bucket(s.astype(np.uint64) + np.uint64(1000 * k), 3) for k, s in enumerate(shape)])
+    if known is not None:
+        use = known[bucket]
+        doc, bucket = doc[use], bucket[use]
     both = np.unique(doc * BUCKETS + bucket)
     return both // BUCKETS, both % BUCKETS
 
@@ -79,12 +82,15 @@ class Linear:
     weights: np.ndarray
     bias: float
 
+    def known(self) -> np.ndarray:
+        out = np.zeros(BUCKETS, bool)
+        out[self.buckets] = True
+        return out
+
     def score(self, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
         if not len(self.buckets):
             return np.full(n, self.bias)
-        known = np.zeros(BUCKETS, bool)
-        known[self.buckets] = True
-        at = np.flatnonzero(known[bucket])
+        at = np.flatnonzero(self.known()[bucket])
         place = np.searchsorted(self.buckets, bucket[at])
         return self.bias + np.bincount(doc[at], self.weights[place], minlength=n)
 
@@ -156,41 +162,41 @@ def _rows(feature: tuple[np.ndarray, np.ndarray], keep: np.ndarray) -> tuple[np.
 
 
 def co_train(text: tuple[np.ndarray, np.ndarray], meta: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray,
-             rounds: int, per_round: int, sure: float) -> CoTrained:
-    """``y`` is 1 (bad), 0 or -1 (pool); a quarter of the labels (by ``fold``) calibrates."""
+             rounds: int, per_round: int, sure: float, surest: Callable) -> CoTrained:
+    """``y`` is 1 (bad) or 0; a quarter of the labels (by ``fold``) calibrates.
+
+    ``surest(models, taken, want)`` gives for each view the keys, labels and features (text,
+    meta) of the unlabelled documents its model is most sure of, without those in ``taken``.
+    """
     views = {"text": text, "meta": meta}
-    held = np.flatnonzero((y >= 0) & (fold % 4 == 0))
-    start = np.flatnonzero((y >= 0) & (fold % 4 != 0))
+    held, start = np.flatnonzero(fold % 4 == 0), np.flatnonzero(fold % 4 != 0)
     if len(np.unique(y[held])) < 2 or len(np.unique(y[start])) < 2:
-        share = float(y[y >= 0].mean()) if (y >= 0).any() else 0.0
+        share = float(y.mean()) if len(y) else 0.0
         none = Linear(np.empty(0, np.int64), np.empty(0), 0.0)
         odds = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         return CoTrained(none, none, np.array([0, odds]), np.array([0, odds]), np.array([0, 0, min(odds, -1.0)]))
-    rows = {v: start for v in views}
+    train = {v: _rows(views[v], start) for v in views}
     labels = {v: y[start].astype(float) for v in views}
-    pool = np.flatnonzero(y < 0)
+    taken: dict[str, set] = {v: set() for v in views}  # by the view that they train
     share = y[start].mean()
+    # as many of each class as their share among the labels, the surest first
+    want = {1: int(round(per_round * share)), 0: int(round(per_round * (1 - share)))}
+    other = {"text": "meta", "meta": "text"}
 
     def fit(v: str) -> tuple[Linear, np.ndarray]:
-        model = fit_linear(*_rows(views[v], rows[v]), labels[v])
+        model = fit_linear(*train[v], labels[v])
         x = model.score(*_rows(views[v], held), len(held))
         return model, fit_dense(x[:, None], y[held].astype(float))
 
     for _ in range(rounds):
         models = {v: fit(v) for v in views}
-        for v, other in (("text", "meta"), ("meta", "text")):
-            free = np.setdiff1d(pool, rows[other])
-            if not len(free):
-                continue
-            model, scale = models[v]
-            p = sigmoid(model.score(*_rows(views[v], free), len(free)) * scale[0] + scale[1])
-            # as many of each class as their share among the labels, the surest first
-            want = {1: int(round(per_round * share)), 0: int(round(per_round * (1 - share)))}
-            top = np.argsort(-p, kind="stable")
-            bad = [i for i in top[: want[1]] if p[i] >= sure]
-            good = [i for i in top[::-1][: want[0]] if p[i] <= 1 - sure]
-            rows[other] = np.concatenate([rows[other], free[np.array(bad + good, np.int64)]])
-            labels[other] = np.concatenate([labels[other], np.ones(len(bad)), np.zeros(len(good))])
+        found = surest(models, {v: taken[other[v]] for v in views}, want, sure)
+        for v, (keys, marks, features) in found.items():
+            o = other[v]
+            at, bucket = features[o]
+            train[o] = np.concatenate([train[o][0], at + len(labels[o])]), np.concatenate([train[o][1], bucket])
+            labels[o] = np.concatenate([labels[o], marks])
+            taken[o].update(keys)
     (t, ts), (m, ms) = fit("text"), fit("meta")
     x = np.column_stack([t.score(*_rows(text, held), len(held)) * ts[0] + ts[1],
                          m.score(*_rows(meta, held), len(held)) * ms[0] + ms[1]])
@@ -202,24 +208,16 @@ def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                                      *[F.col(c).cast("string").alias(c) for c in META])
 
 
-def _sample(source: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> DataFrame:
-    """Bounded labelled documents and pool: (doc_id, text, metadata, y), picked by a digest of the id."""
+def _sample(source: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """Bounded labelled documents: (doc_id, text, metadata, key, y), picked by a digest of the id."""
     marked = labels.groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = source.select("doc_id").filter("doc_id is not null").distinct()
     known = ids.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    pool = ids.join(marked, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool)
-    picked = known.unionByName(pool.withColumn("y", F.lit(-1)))
-    return source.join(F.broadcast(picked), "doc_id")  # at most max_labelled + max_pool ids
-
+    return source.join(F.broadcast(known), "doc_id")  # at most max_labelled ids
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                      max_labelled: int = 8000, max_pool: int = 3000, rounds: int = 3, per_round: int = 300,
-                      sure: float = 0.95) -> CoTrained:
-    """Fit both views on at most ``max_labelled`` labelled and ``max_pool`` other documents."""
-    bad = F.greatest(1 - F.col("quality").cast("int"), F.col("toxic").cast("int"))  # nulls are skipped
-    marked = labels.select(F.col("doc_id"), bad.alias("y")).filter("doc_id is not null and y is not null")
-    sample = _sample(_source(docs, doc_id, text), marked, max_labelled, max_pool)
 
+def _features(rows: DataFrame) -> pa.Table:
+    """(doc_id, key, text, meta, y) of few rows: features of both views, in an order of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
@@ -228,22 +226,71 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id"
                     order = np.argsort(at, kind="stable")
                     cut = np.searchsorted(at[order], np.arange(len(texts) + 1)).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket[order].astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), *lists, part.column(5).cast(pa.int32())],
-                                                 names=["doc_id", "text", "meta", "y"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(5), *lists, part.column(6).cast(pa.int32())],
+                                                 names=["doc_id", "key", "text", "meta", "y"])
+
+    got = rows.select("doc_id", "text", *META, "key", "y").mapInArrow(
+        run, "doc_id string, key long, text array<int>, meta array<int>, y int").toArrow().combine_chunks()
+    names, keys = got.column("doc_id").to_pylist(), got.column("key").to_pylist()
+    order = sorted(range(len(got)), key=lambda i: (names[i] or "", keys[i]))  # so that the fit does not depend on task order
+    return got.take(pa.array(np.array(order, np.int64)))
+
+
+def _pairs(got: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    column = got.column(name).combine_chunks()
+    size = np.asarray(column.value_lengths()) if len(column) else np.empty(0, int)
+    return np.repeat(np.arange(len(column)), size), np.asarray(column.flatten(), np.int64)
+
+
+def _surest(source: DataFrame, labels: DataFrame) -> Callable:
+    """Search of the surest documents among all without a label; rows equal in every column that is read count once."""
+    def search(models: dict, taken: dict, want: dict, sure: float) -> dict:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, texts in slices(batch, "text"):
+                    p = []
+                    for v, feature in (("text", text_features(texts, models["text"][0].known())), ("meta", meta_features(part))):
+                        model, scale = models[v]
+                        p.append(pa.array(sigmoid(model.score(*feature, len(texts)) * scale[0] + scale[1])))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), *p], names=["doc_id", "key", "text", "meta"])
+
+        kind = source.schema["doc_id"].dataType.simpleString()
+        scored = source.select("doc_id", "text", *META, "key").mapInArrow(run, f"doc_id {kind}, key long, text double, meta double") \
+            .filter(" or ".join(f"{v} >= {sure} or {v} <= {1 - sure}" for v in models))
+        scored = stage(scored.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "text", "meta").distinct(), "sure")
+        marks: dict[str, dict] = {v: {} for v in models}
+        for v in models:
+            for mark, fits, order in ((1, F.col(v) >= sure, F.col(v).desc()), (0, F.col(v) <= 1 - sure, F.col(v).asc())):
+                top = scored.filter(fits).orderBy(order, F.xxhash64("key"), "key").select("key").limit(want[mark] + len(taken[v])).collect()
+                free = [r["key"] for r in top if r["key"] not in taken[v]]
+                marks[v].update((k, float(mark)) for k in free[: want[mark]])
+        drop_staged(scored)
+        keys = sorted({k for m in marks.values() for k in m})
+        picked = source.sparkSession.createDataFrame([(k,) for k in keys], "key long")
+        got = _features(source.join(F.broadcast(picked), "key").withColumn("y", F.lit(-1)).dropDuplicates(["key"]))
+        out = {}
+        for v, mark in marks.items():
+            own = got.filter(pa.array([k in mark for k in got.column("key").to_pylist()], pa.bool_()))
+            names = own.column("key").to_pylist()
+            out[v] = names, np.array([mark[k] for k in names], float), {w: _pairs(own, w) for w in models}
+        return out
+
+    return search
 
-    got = sample.select("doc_id", "text", *META, "y").mapInArrow(
-        run, "doc_id string, text array<int>, meta array<int>, y int").toArrow().combine_chunks()
-    order = np.array(sorted(range(len(got)), key=lambda i, ids=got.column("doc_id").to_pylist(): ids[i]), np.int64)
-    got = got.take(pa.array(order))  # an order of its own, so that the fit does not depend on task order
-
-    def pairs(name: str) -> tuple[np.ndarray, np.ndarray]:
-        column = got.column(name).combine_chunks()
-        size = np.asarray(column.value_lengths()) if len(column) else np.empty(0, int)
-        return np.repeat(np.arange(len(column)), size), np.asarray(column.flatten(), np.int64)
 
+def fit_quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                      max_labelled: int = 8000, rounds: int = 3, per_round: int = 300, sure: float = 0.95) -> CoTrained:
+    """Fit both views on at most ``max_labelled`` labelled documents and the surest of all others."""
+    bad = F.greatest(1 - F.col("quality").cast("int"), F.col("toxic").cast("int"))  # nulls are skipped
+    marked = labels.select(F.col("doc_id"), bad.alias("y")).filter("doc_id is not null and y is not null")
+    source = _source(docs, doc_id, text)
+    columns = ("doc_id", "text", *META)
+    source = source.withColumn("key", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
+    got = _features(_sample(source, marked, max_labelled))
     names = texts_of(got.column("doc_id"))
     fold = span_digests(names, names.off[:-1], names.off[1:]) % np.uint64(1 << 20)
-    return co_train(pairs("text"), pairs("meta"), np.asarray(got.column("y"), np.int64), fold, rounds, per_round, sure)
+    return co_train(_pairs(got, "text"), _pairs(got, "meta"), np.asarray(got.column("y"), np.int64), fold, rounds, per_round, sure,
+                    _surest(source, marked))
 
 
 def score_quality(docs: DataFrame, model: CoTrained, doc_id: str = "doc_id", text: str = "text",
@@ -255,7 +302,7 @@ def score_quality(docs: DataFrame, model: CoTrained, doc_id: str = "doc_id", tex
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 n = len(texts)
-                a, b, c = model.scores(model.text.score(*text_features(texts), n), model.meta.score(*meta_features(part), n))
+                a, b, c = model.scores(model.text.score(*text_features(texts, model.text.known()), n), model.meta.score(*meta_features(part), n))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a), pa.array(b), pa.array(c), pa.array(c >= threshold)],
                                                  names=["doc_id", "text_score", "meta_score", "score", "rejected"])
 
@@ -274,7 +321,7 @@ def drop_rejected(docs: DataFrame, model: CoTrained, doc_id: str = "doc_id", tex
         for batch in batches:
             for part, texts in slices(with_field(batch, "whole", text, "\0text"), "\0text"):
                 n = len(texts)
-                score = model.scores(model.text.score(*text_features(texts), n), model.meta.score(*meta_features(part), n))[2]
+                score = model.scores(model.text.score(*text_features(texts, model.text.known()), n), model.meta.score(*meta_features(part), n))[2]
                 yield pa.RecordBatch.from_arrays([part.column(0)], names=["whole"]).filter(pa.array(score < threshold))
 
     return plain.mapInArrow(run, f"whole {plain.schema['whole'].dataType.simpleString()}").select("whole.*")

@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from kestrel.llm.cotrain import drop_rejected, fit_quality_model, score_quality
+from kestrel.llm.cotrain import drop_rejected, fit_quality_model, meta_features, score_quality
 from tests.llm.cases import documents, frame, words
 
 
@@ -35,6 +36,20 @@ def test_held_out(spark):
     assert (again.text.buckets == model.text.buckets).all() and abs(again.mix - model.mix).max() < 1e-9
 
 
+def test_surest_of_all_unlabelled(spark):
+    """Sure documents that come late by the digest of their id still teach the other view."""
+    rng = random.Random(21)
+    order = [r["id"] for r in spark.range(1000, 4400).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, words(rng, 12, 60), "en", "web", 0) for i in order[:3100]]
+    rows += [(i, words(rng, 12, 60) + " vile scum", "en", "den", 0) for i in order[3100:]]
+    rows += [(i, words(rng, 12, 60) + (" vile scum" if i % 3 == 0 else ""), "en", "web", 0) for i in range(400)]
+    marked = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = fit_quality_model(frame(spark, rows), marked)
+    known = pa.RecordBatch.from_pydict({"lang": ["en", "en"], "source": ["web", "den"], "n_chars": ["0", "0"]})
+    web, den = model.meta.score(*meta_features(known), 2)
+    assert den > web + 1
+
+
 def test_awkward_tables(spark):
     docs = frame(spark)
     labels = spark.createDataFrame([(0, None, None), (1, 1, 0), (1, 0, None), (None, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
