@@ -1,8 +1,8 @@
 """A corpus pipeline: filter, de-duplicate, decontaminate and tokenise ``documents``.
 
 Each stage takes the documents that the one before kept, as a written table, and all but the
-last return the same columns. Rows that share a ``doc_id`` stand or fall together where a
-stage decides by id.
+last return the same columns. Rows that share a ``doc_id``, or have none, are told apart by a
+digest of their text.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates, equal rows once."""
-    first = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.alias("d").join(first.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
+    """The row with the smallest id of every group of near-duplicates, equal rows once."""
+    first = jaccard_components(docs, with_rows=True).filter("first").select("doc_id", "row").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64("d.text") == F.col("f.row"))
+    kept = docs.alias("d").join(first.alias("f"), same, "left_semi")
     return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
 
 

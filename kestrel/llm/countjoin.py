@@ -392,11 +392,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
-                       chunk: int = 2048) -> DataFrame:
+                       chunk: int = 2048, with_rows: bool = False) -> DataFrame:
     """Components of documents linked by a shingle Jaccard similarity of ``percent`` or more.
 
     Returns (doc_id, n_shingles, component_id): the component is named by its smallest id.
     Blocks with more than ``chunk`` members are searched chunk against chunk, in tasks of their own.
+    ``with_rows`` adds (row, first): a digest of the text, and whether this row represents its
+    component (the smallest id, null ids last, then the smallest digest).
     """
     source = text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark, kind = docs.sparkSession, source.schema["doc_id"].dataType.simpleString()
@@ -407,10 +409,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 n, doc, grams = shingle_sets(texts, shingle)
                 cut = np.append(0, np.cumsum(n)).tolist()
                 points = [pack_point(count_vector(grams[a:b])) for a, b in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(class_digests(n, doc, grams)),
-                                                  pa.array(points, pa.binary())], names=["doc_id", "n", "class", "point"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n.astype(np.int64)),
+                                                  pa.array(class_digests(n, doc, grams)), pa.array(points, pa.binary())],
+                                                 names=["doc_id", "row", "n", "class", "point"])
 
-    member = stage(source.mapInArrow(sized, f"doc_id {kind}, n long, class long, point binary"), "classes")
+    member = source.select("doc_id", "text", F.xxhash64("text").alias("row")) \
+        .mapInArrow(sized, f"doc_id {kind}, row long, n long, class long, point binary")
+    member = stage(member, "classes")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = source.select("text").mapInArrow(_packed(shingle, percent, 16 * partitions), "bucket int, data binary")
     blocks = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket") \
@@ -476,8 +481,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         checked = checked.unionByName(pairs)
 
     named = member.join(label.toDF("class", "c1"), "class", "left").withColumn("group", F.coalesce("c1", "class"))
-    named = named.select("doc_id", "n", F.when(F.col("n") > 0, F.col("group")).alias("group"))
-    smallest = named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = named.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("group")).alias("group"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    top = [F.min(place).alias("top")] if with_rows else []
+    smallest = named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), *top)
     out = named.join(smallest, "group", "left")
+    rows = ["row", ((F.col("n") == 0) | place.eqNullSafe(F.col("top"))).alias("first")] if with_rows else []
     return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *rows)

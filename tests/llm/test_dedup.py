@@ -196,6 +196,20 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_one_row_of_each_group(spark):
+    """Groups with null or shared ids keep one row each; rows without words all stay, equal ones once."""
+    import corpus_pipeline as P
+
+    rng = random.Random(14)
+    a, b, c, d = (words(rng, 80, 10**6) for _ in range(4))
+    rows = [(None, a), (None, a + " x"), (None, a + " y"), (7, b), (None, b + " x"), (None, ""), (None, ""), (8, None),
+            (5, c), (5, c + " x"), (5, d), (9, d + " y"), (6, c + " z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, "").collect()]
+    assert len(got) == len(set(got)) == 6 and {(7, b), (None, ""), (8, None), (5, d)} <= set(got)
+    assert sum(i is None and t.startswith(a) for i, t in got) == 1 and sum(i == 5 and t.startswith(c) for i, t in got) == 1
+
+
 def test_pipeline(spark, tmp_path):
     """Every stage against brute force on its own input."""
     import corpus_pipeline as P
