@@ -15,6 +15,9 @@ from kestrel.llm.countjoin import jaccard_components
 from kestrel.llm.huffman import token_index, write_token_ids
 from kestrel.llm.lengths import length_histogram, token_lengths
 from kestrel.llm.licenses import scan_licenses
+from kestrel.llm.periodic import periodic_runs, repeat_tails, run_digest
+from kestrel.llm.repair import damaged, repair_digest
+from kestrel.llm.simhash import simhash_components
 from kestrel.llm.staging import staging_path
 from kestrel.llm.substrings import removal_digest, remove_repeats
 from kestrel.llm.urlrules import filter_urls
@@ -94,3 +97,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality_model(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op11_conversation_repair", sql.REPAIR)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair_digest(rows, damaged(rows))
+
+
+@query("op12_simhash")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(repeat_tails(table(spark, sf_dir, "documents"))))

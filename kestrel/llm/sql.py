@@ -81,3 +81,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * n_upper > 7 * greatest(n_letters, 1)) AS kept
 FROM v
 """
+
+#: Ties between rows of one turn go by role and md5 of the text, as in the operator.
+REPAIR = r"""
+WITH RECURSIVE step(b, k, v) AS (SELECT b, 0, b FROM range(256) t(b)
+    UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM step WHERE k = 8),
+c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+              coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+sums(key, i, v) AS (SELECT DISTINCT key, 0, CAST(4294967295 AS BIGINT) FROM c0
+    UNION ALL SELECT key, i + 1, xor(v // 256, t[xor(v % 256, ascii(substr(key, i + 1, 1))) + 1]) FROM sums, crc WHERE i < length(key)),
+h AS (SELECT key, xor(v, 4294967295) % 20 AS h FROM sums WHERE i = length(key)),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' WHEN role = '' THEN ' ' ELSE role END AS role,
+             CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+      FROM c0 JOIN h USING (key), (VALUES (0), (1)) x(copy) WHERE h <> 0 AND (copy = 0 OR h = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM d),
+e AS (SELECT conv_id, turn, role, text, i, role[1] AS r, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS p,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+             regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS shown FROM o),
+f AS (SELECT *, CASE WHEN shown = '' THEN 'b' WHEN seen THEN 'd' WHEN shown[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM e),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+                 count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                 count(*) FILTER (p IS NOT NULL AND p || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+best(conv_id, i, o, s, u, a) AS (
+    SELECT conv_id, 0, {'c': 0, 'w': ''}, NULL::STRUCT(c INTEGER, w VARCHAR), NULL::STRUCT(c INTEGER, w VARCHAR), NULL::STRUCT(c INTEGER, w VARCHAR) FROM stats
+    UNION ALL
+    SELECT conv_id, i + 1, {'c': o.c + 3, 'w': o.w || 'D'},
+           list_min([CASE WHEN s IS NOT NULL THEN {'c': s.c + 3, 'w': s.w || 'D'} END,
+                     CASE WHEN x = 0 AND r = 's' THEN {'c': o.c + t, 'w': o.w || 'K'} END]),
+           list_min([CASE WHEN u IS NOT NULL THEN {'c': u.c + 3, 'w': u.w || 'D'} END,
+                     CASE WHEN x = 0 THEN {'c': v.c + t + CASE WHEN r = 'u' THEN 0 ELSE 2 END, 'w': v.w || CASE WHEN r = 'u' THEN 'K' ELSE 'R' END} END]),
+           list_min([CASE WHEN a IS NOT NULL THEN {'c': a.c + 3, 'w': a.w || 'D'} END,
+                     CASE WHEN x = 0 AND u IS NOT NULL THEN {'c': u.c + t + CASE WHEN r = 'a' THEN 0 ELSE 2 END,
+                                                            'w': u.w || CASE WHEN r = 'a' THEN 'K' ELSE 'R' END} END])
+    FROM (SELECT q.conv_id, q.i, o, s, u, a, list_min([o, s, a]) AS v, f.r,
+                 CASE WHEN f.fault IN ('b', 'd') THEN 1 ELSE 0 END AS x, CASE WHEN f.fault = 't' THEN 1 ELSE 0 END AS t
+          FROM (SELECT conv_id, i, o, s, u, list_min([a, CASE WHEN u IS NOT NULL THEN {'c': u.c + 2, 'w': u.w || 'I'} END]) AS a
+                FROM (SELECT conv_id, i, o, s, a, list_min([u, {'c': o.c + 2, 'w': o.w || 'I'}, CASE WHEN s IS NOT NULL THEN {'c': s.c + 2, 'w': s.w || 'I'} END,
+                       CASE WHEN a IS NOT NULL THEN {'c': a.c + 2, 'w': a.w || 'I'} END]) AS u FROM best)) q
+          JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.i + 1)),
+ends AS (SELECT b.conv_id, list_min([o, a, CASE WHEN u IS NOT NULL THEN {'c': u.c + 2, 'w': u.w || 'I'} END,
+                                     CASE WHEN s IS NOT NULL THEN {'c': s.c + 4, 'w': s.w || 'II'} END]) AS e
+         FROM best b JOIN stats t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = t.n),
+edits AS (SELECT conv_id, k, e.w[k] AS op, length(replace(e.w[1:k], 'I', '')) AS i, length(replace(e.w[1:k], 'D', '')) AS place
+          FROM ends, unnest(range(1, length(e.w) + 1)) x(k) WHERE e.w[k] <> 'D'),
+lines AS (SELECT x.conv_id, place, op, f.role, f.text,
+                 max(CASE WHEN place = 1 AND op = 'K' AND f.r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.conv_id) AS led
+          FROM edits x LEFT JOIN f ON op <> 'I' AND f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i),
+made AS (SELECT conv_id, string_agg(CASE WHEN op = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                    || ':' || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS body FROM lines GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(e.c, 0) AS BIGINT) AS cost, coalesce(e.w, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+     LEFT JOIN ends n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN made m ON m.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
