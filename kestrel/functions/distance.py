@@ -1,9 +1,8 @@
 """String distance and similarity measures.
 
-Native Spark expressions where the measure can be written with built-in
-functions (Hamming, Levenshtein, and the multiset q-gram measures Overlap,
-Cosine, Jaccard, Tversky, Sorensen). The alignment measures with no built-in
-counterpart (Damerau-Levenshtein, Jaro, Jaro-Winkler, StrCmp95,
+The multiset q-gram measures (Overlap, Cosine, Jaccard, Tversky, Sorensen), Hamming and
+Levenshtein are ranked through indexes (``operators.nearest``); their grams come from
+built-in functions. The alignment measures with no built-in counterpart (Damerau-Levenshtein, Jaro, Jaro-Winkler, StrCmp95,
 Needleman-Wunsch, Gotoh, Smith-Waterman) are small per-pair helpers called
 from an Arrow-batched pandas UDF that scores one input against a block of
 terms at a time.
@@ -28,7 +27,6 @@ FEASIBLE = EDIT + TOKEN
 # measures ranked high-to-low (similarities); the rest are distances ranked low-to-high
 REVERSE = ("Jaro", "JaroWinkler", "NeedlemanWunsch", "SmithWaterman", "Gotoh", "StrCmp95",
            "Overlap", "Jaccard", "Cosine", "Tversky", "Sorensen")
-NATIVE = ("Hamming", "Levenshtein") + TOKEN
 
 
 # ---------------------------------------------------------------------------
@@ -45,52 +43,6 @@ def gram_tags(col: Column, q: int) -> Column:
                                  .cast("string"))))
 
 
-def token_similarity_tags(name: str, ta: Column, tb: Column, same: Column) -> Column:
-    """Multiset measures from tagged gram sets (see ``gram_tags``)."""
-    inter = F.size(F.array_intersect(ta, tb)).cast("double")
-    na, nb = F.size(ta).cast("double"), F.size(tb).cast("double")
-    if name == "Overlap":
-        v = inter / F.least(na, nb)
-    elif name == "Cosine":
-        v = inter / F.sqrt(na * nb)
-    elif name in ("Jaccard", "Tversky"):
-        v = inter / (na + nb - inter)
-    elif name == "Sorensen":
-        v = 2 * inter / (na + nb)
-    else:
-        raise ValueError(name)
-    return F.when(same, F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(v)
-
-
-def bounded(name: str, q: int) -> bool:
-    """Do the sizes of two strings bound this measure?"""
-    return name in ("Cosine", "Jaccard", "Tversky", "Sorensen") or (name in ("Hamming", "Levenshtein") and q == 1)
-
-
-def size_bound(name: str, a: int, b: int, q: int) -> float:
-    """The best score that strings of sizes a and b can have: every position or gram of the
-    smaller one agrees. For measures without such a bound, the best score of all."""
-    low, high = min(a, b), max(a, b)
-    if not bounded(name, q):
-        return 1.0 if name in REVERSE else 0.0
-    if name in ("Hamming", "Levenshtein"):
-        return float(high - low)
-    if low == 0:
-        return float(high == 0)
-    return {"Cosine": (low / high) ** 0.5, "Sorensen": 2 * low / (low + high)}.get(name, low / high)
-
-
-def hamming(a: Column, b: Column) -> Column:
-    """Positions that differ; the longer string's tail counts as mismatches."""
-    ca = F.filter(F.split(a, ""), lambda x: x != "")
-    cb = F.filter(F.split(b, ""), lambda x: x != "")
-    return F.size(F.filter(F.zip_with(ca, cb, lambda x, y: ~x.eqNullSafe(y)), lambda z: z)).cast("double")
-
-
-def levenshtein(a: Column, b: Column) -> Column:
-    return F.levenshtein(a, b).cast("double")
-
-
 # ---------------------------------------------------------------------------
 # per-pair helpers for the Arrow UDF
 # ---------------------------------------------------------------------------

@@ -6,10 +6,11 @@ Every function maps DataFrames to a DataFrame. Documents are identified by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions import text as T
+from kestrel.operators import nearest as N
 from kestrel.operators.indexing import dense_index
 from kestrel.session import cut_lineage
 
@@ -93,6 +94,12 @@ def matrix_stats(docs: DataFrame, weights: DataFrame) -> DataFrame:
         (F.col("nnz") / (n_rows * F.col("n_features"))).alias("density"))
 
 
+def weight_vectors(weights: DataFrame) -> DataFrame:
+    """One row per document: (side, key, terms, weights)."""
+    listed = weights.groupBy("side", "key").agg(F.collect_list(F.struct("term", "weight")).alias("w"))
+    return listed.select("side", "key", F.col("w.term").alias("terms"), F.col("w.weight").alias("weights"))
+
+
 def sparse_cosine(weights: DataFrame) -> DataFrame:
     """(input, match, score) for every pair sharing a term; score rounded to 4 places, > 0."""
     a = weights.where(F.col("side") == "i").select(F.col("key").alias("input"), "term", F.col("weight").alias("wi"))
@@ -114,10 +121,13 @@ def tfidf_match(inputs: DataFrame, matches: DataFrame, input_col: str, match_col
                 smooth_idf: bool = True) -> DataFrame:
     """Top-n TF-IDF cosine candidates: (input, rank, match, score)."""
     docs = match_documents(inputs, matches, input_col, match_col, use_stemmer)
-    # both sides of the cosine join read the weights: materialise them once (reliable
+    # both sides of the search read the vectors: materialise them once (reliable
     # checkpoint) instead of recomputing tokens, document frequencies and norms per side
-    weights = cut_lineage(tfidf_weights(docs, analyzer, ngrams, smooth_idf))
-    return top_n(sparse_cosine(weights), ncandidates).select("input", "rank", "match", "score")
+    vectors = cut_lineage(weight_vectors(tfidf_weights(docs, analyzer, ngrams, smooth_idf)))
+    sides = [vectors.where(F.col("side") == s).drop("side") for s in ("i", "m")]
+    found = N.nearest(*sides, F.size("terms"), N.cosine_index, ncandidates)
+    pairs = found.select("input", "match", F.round("score", 4).alias("score")).where("match IS NOT NULL AND score > 0")
+    return top_n(pairs, ncandidates).select("input", "rank", "match", "score")
 
 
 def mapping_response(candidates: DataFrame, inputs: DataFrame, input_col: str,
@@ -155,93 +165,52 @@ def normalize_key(df: DataFrame, parent: str, child: str, name: str = "key") ->
     return df.select(k.alias(name)).where(F.col(name).isNotNull()).distinct()
 
 
-def _sized(df: DataFrame, col: str, name: str, algorithm: str, q: int) -> DataFrame:
-    """Distinct strings with the size that bounds a score: number of q-grams or of characters
-    (0 for all where no size bounds the measure)."""
-    from kestrel.functions import distance as DI
-    base = df.select(F.col(col).alias(name)).where(F.col(name).isNotNull()).distinct()
-    if algorithm in DI.TOKEN:
-        base = base.withColumn("grams", DI.gram_tags(F.col(name), q))
-    if not DI.bounded(algorithm, q):
-        return base.withColumn("size", F.lit(0))
-    return base.withColumn("size", F.size("grams") if algorithm in DI.TOKEN else F.length(name))
-
+def _keys(df: DataFrame, col: str) -> DataFrame:
+    return df.select(F.col(col).alias("key")).where(F.col("key").isNotNull()).distinct()
 
-def _size_plan(spark: SparkSession, inputs: DataFrame, terms: DataFrame, algorithm: str, q: int, n: int,
-               block_size: int) -> DataFrame:
-    """Which blocks of terms each input size meets: (in_size, size, chunk, phase, bound).
 
-    Term sizes are ranked by the best score they allow. The first ones that hold n terms are
-    phase 0; a later size is met only by inputs whose n-th best score it can still reach.
-    Distinct sizes are as many as the longest string has characters at most.
-    """
+def _block_match(inputs: DataFrame, terms: DataFrame, algorithm: str, ngrams: int, n: int, block_size: int) -> DataFrame:
+    """(input, match, score): the best of every block of terms, for measures that nothing bounds."""
     from kestrel.functions import distance as DI
-    counts = {r["size"]: r["n"] for r in terms.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = []
-    for (x,) in inputs.select("size").distinct().collect():
-        ranked = sorted(((DI.size_bound(algorithm, x, t, q), abs(x - t), t) for t in counts),
-                        key=lambda r: (-r[0] if algorithm in DI.REVERSE else r[0], r[1], r[2]))
-        seen = 0
-        for bound, _, t in ranked:
-            phase = int(seen >= n and bound is not None and DI.bounded(algorithm, q))
-            rows += [(x, t, c, phase, float(bound)) for c in range(-(-counts[t] // block_size))]
-            seen += counts[t]
-    return spark.createDataFrame(rows, "in_size int, size int, chunk int, phase int, bound double")
+    desc = algorithm in DI.REVERSE
+    chunks = max(1, -(-terms.count() // block_size))
+    blocks = terms.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks))) \
+        .groupBy("chunk").agg(F.collect_list("key").alias("terms"))
+    met = inputs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))).join(blocks, "chunk")
+    scored = F.zip_with(DI.block_scores_udf(algorithm, ngrams)(F.col("key"), F.col("terms")), F.col("terms"),
+                        lambda s, t: F.struct((-F.round(s, 4) if desc else F.round(s, 4)).alias("k"), t.alias("term")))
+    return met.select("key", F.explode(F.slice(F.sort_array(scored), 1, n)).alias("c")) \
+        .select(F.col("key").alias("input"), F.col("c.term").alias("match"), (-F.col("c.k") if desc else F.col("c.k")).alias("score"))
 
 
 def textdist_match(inputs: DataFrame, terms: DataFrame, input_col: str, term_col: str, algorithm: str,
-                   ngrams: int = 1, ncandidates: int = 5, block_size: int = 4096) -> DataFrame:
+                   ngrams: int = 1, ncandidates: int = 5, block_size: int = 4096, with_work: bool = False) -> DataFrame:
     """Rank every term for every input by ``algorithm``; keep the best ``ncandidates``.
 
     Scores are rounded to 4 places and ranked ascending for distances, descending for
-    similarities, ties by term. Terms are grouped by size into blocks of at most
-    ``block_size``; a pair's sizes bound its score (see ``distance.size_bound``). An input
-    first meets the blocks that allow the best scores, until they hold ``ncandidates`` terms,
-    and then only the blocks whose bound reaches its n-th best score, so blocks that cannot
-    matter are never scored. Only the best of each block leave it: no (input, term) pair row is
-    ever materialised. Measures without a bound by size meet every block.
+    similarities, ties by term. Gram measures and, over characters, Levenshtein and
+    Hamming search an index per shard of terms (``operators.nearest``) that leaves out what
+    cannot be among the best; the other measures score blocks of ``block_size`` terms.
+    ``with_work`` returns (input, scored) instead: how many pairs were scored for an input.
     """
     from kestrel.functions import distance as DI
     if algorithm not in DI.FEASIBLE:
-        raise ValueError(f"{algorithm} is not among feasible distance algorithms")
+        raise ValueError(f"unknown measure {algorithm!r}; known: {', '.join(sorted(DI.FEASIBLE))}")
     desc = algorithm in DI.REVERSE
-    term = cut_lineage(_sized(terms, term_col, "term", algorithm, ngrams))
-    inp = cut_lineage(_sized(inputs, input_col, "input", algorithm, ngrams))
-    token = algorithm in DI.TOKEN
-    plan = _size_plan(inputs.sparkSession, inp, term, algorithm, ngrams, ncandidates, block_size)
-    chunks = plan.groupBy("size").agg((F.max("chunk") + 1).alias("chunks"))
-    item = F.struct("term", "grams") if token else F.struct("term")
-    blocks = term.join(chunks, "size").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int")) \
-        .groupBy("size", "chunk").agg(F.collect_list(item).alias("terms"))
-
-    def best_of(rows: DataFrame) -> DataFrame:
-        """Best candidates of each (input, block)."""
-        met = rows.join(blocks, ["size", "chunk"])
-        x = F.col("input")
-        if token:
-            scored = F.transform("terms", lambda t: F.struct(
-                DI.token_similarity_tags(algorithm, F.col("grams"), t["grams"], x == t["term"]).alias("s"), t["term"].alias("term")))
-        elif algorithm in ("Hamming", "Levenshtein") and ngrams == 1:
-            fn = DI.hamming if algorithm == "Hamming" else DI.levenshtein
-            scored = F.transform("terms", lambda t: F.struct(fn(x, t["term"]).alias("s"), t["term"].alias("term")))
-        else:
-            names = F.transform("terms", lambda t: t["term"])
-            scored = F.zip_with(DI.block_scores_udf(algorithm, ngrams)(x, names), names,
-                                lambda s, t: F.struct(s.alias("s"), t.alias("term")))
-        keyed = F.transform(scored, lambda c: F.struct(
-            (-F.round(c["s"], 4) if desc else F.round(c["s"], 4)).alias("k"), c["term"].alias("term")))
-        return met.select("input", F.explode(F.slice(F.sort_array(keyed), 1, ncandidates)).alias("c")) \
-            .select("input", F.col("c.term").alias("match"), (-F.col("c.k") if desc else F.col("c.k")).alias("score"))
-
-    rows = inp.withColumnRenamed("size", "in_size").join(plan, "in_size")
-    first = best_of(rows.where("phase = 0"))
-    if not DI.bounded(algorithm, ngrams):
-        return top_n(first, ncandidates, descending=desc).select("input", "rank", "match", "score")
-    first = cut_lineage(top_n(first, ncandidates, descending=desc).drop("rank"))
-    worst = first.groupBy("input").agg((F.min if desc else F.max)("score").alias("worst"))
-    reach = F.round("bound", 4) >= F.col("worst") if desc else F.round("bound", 4) <= F.col("worst")
-    rest = best_of(rows.where("phase = 1").join(worst, "input").where(reach))
-    return top_n(first.unionByName(rest), ncandidates, descending=desc).select("input", "rank", "match", "score")
+    inp, term = _keys(inputs, input_col), _keys(terms, term_col)
+    if algorithm in DI.TOKEN:
+        inp, term = (cut_lineage(d.withColumn("terms", DI.gram_tags(F.col("key"), ngrams))) for d in (inp, term))
+        found = N.nearest(inp, term, F.size("terms") + 1, N.gram_index(algorithm), ncandidates)
+    elif algorithm in ("Hamming", "Levenshtein") and ngrams == 1:
+        inp, term = cut_lineage(inp), cut_lineage(term)
+        found = N.nearest(inp, term, F.length("key") + 1, N.edit_index(algorithm == "Levenshtein"), ncandidates, shard_load=N.STRING_LOAD)
+    else:
+        inp, term = cut_lineage(inp), cut_lineage(term)
+        found = _block_match(inp, term, algorithm, ngrams, ncandidates, block_size).withColumn("scored", F.lit(None).cast("long"))
+    if with_work:
+        return found.groupBy("input").agg(F.sum("scored").alias("scored"))
+    found = found.where(F.col("match").isNotNull()).select("input", "match", F.round("score", 4).alias("score"))
+    return top_n(found, ncandidates, descending=desc).select("input", "rank", "match", "score")
 
 
 # ---------------------------------------------------------------------------

@@ -280,9 +280,10 @@ def q_mapping_validation(t: Tables):
 
 
 # ---- bag of words on the text tables ----------------------------------------
-@register("bow_counts", f"""SELECT doc_id AS key, term, count(*) AS n FROM (
-  SELECT doc_id, unnest(list_concat({S.word_ngrams('text', 1, 1)}, {S.word_ngrams('text', 2, 1)})) AS term
-  FROM documents) GROUP BY doc_id, term""")
+@register("bow_counts", f"""WITH w AS (SELECT doc_id AS key, {S.word_tokens('text', 1)} AS w FROM documents),
+t AS (SELECT key, unnest(w) AS term FROM w
+      UNION ALL SELECT key, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) AS term FROM w WHERE len(w) > 1)
+SELECT key, term, count(*) AS n FROM t GROUP BY key, term""")
 def q_bow_counts(t: Tables):
     """Word uni- and bi-grams (tokens of one or more word characters) per document."""
     return M.bow_counts(t.documents, "doc_id", "text", (1, 2), 1)
