@@ -382,8 +382,8 @@ class EditIndex:
 # the search over shards and chunks
 # ---------------------------------------------------------------------------
 
-def _search(build: Callable[[pa.Table], object], n: int):
-    """Answers of groups (group, kind, key, ...): matches (kind 0) first, then inputs."""
+def search_groups(build: Callable[[pa.Table], object], answer: Callable[[object, pa.RecordBatch], pa.RecordBatch]):
+    """Answers of groups (group, kind, ...): the rows of an index (kind 0) first, then what is asked of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         index, group = None, None
@@ -398,14 +398,29 @@ def _search(build: Callable[[pa.Table], object], n: int):
                     held.append(part)
                     continue
                 if not held:
-                    continue  # a shard without matches
+                    continue  # a shard without rows
                 if index is None:
                     index = build(pa.Table.from_batches(held).combine_chunks())
-                yield _answers(index, part, n)
+                yield answer(index, part)
 
     return run
 
 
+def dealt(index: DataFrame, asked: DataFrame, shards: int, chunks: int) -> DataFrame:
+    """Rows of both tables by (chunk, shard) group, for ``search_groups``.
+
+    ``index`` has a column ``shard`` and goes to every chunk, ``asked`` has ``chunk`` and goes to every
+    shard (or has ``shard``, too); their other columns are the same.
+    """
+    spark = index.sparkSession
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    i = index.withColumn("chunk", every(chunks)).withColumn("kind", F.lit(0))
+    a = (asked if "shard" in asked.columns else asked.withColumn("shard", every(shards))).withColumn("kind", F.lit(1))
+    both = i.unionByName(a).withColumn("group", F.col("shard") * chunks + F.col("chunk")).drop("shard", "chunk")
+    parts = min(shards * chunks, max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return both.repartitionById(parts, F.pmod(F.col("group"), F.lit(parts)).cast("int")).sortWithinPartitions("group", "kind")
+
+
 def _answers(index, part: pa.RecordBatch, n: int) -> pa.RecordBatch:
     found, scores, scored = [], [], []
     for match, score in index.answer(part, n):
@@ -441,14 +456,9 @@ def nearest(inputs: DataFrame, matches: DataFrame, load: Column, build: Callable
     tasks = min(spark.sparkContext.defaultParallelism, -(-total["inputs"]["n"] // 64))
     chunks = max(1, -(-total["inputs"]["load"] // chunk_load), -(-tasks // shards))
     own = F.xxhash64("key")
-    m = matches.withColumn("shard", F.pmod(own, F.lit(shards))) \
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("kind", F.lit(0))
-    i = inputs.withColumn("chunk", F.pmod(own, F.lit(chunks)).cast("int")) \
-        .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("kind", F.lit(1))
-    both = m.unionByName(i).withColumn("group", F.col("shard") * chunks + F.col("chunk")).drop("shard", "chunk")
-    parts = min(shards * chunks, max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = both.repartitionById(parts, F.pmod(F.col("group"), F.lit(parts)).cast("int")).sortWithinPartitions("group", "kind")
-    return dealt.mapInArrow(_search(build, n), "input string, match string, score double, scored long")
+    met = dealt(matches.withColumn("shard", F.pmod(own, F.lit(shards))), inputs.withColumn("chunk", F.pmod(own, F.lit(chunks))), shards, chunks)
+    return met.mapInArrow(search_groups(build, lambda index, part: _answers(index, part, n)),
+                          "input string, match string, score double, scored long")
 
 
 def cosine_index(t: pa.Table) -> CosineIndex:

@@ -115,8 +115,8 @@ def test_rank_among_all_unseen_items(spark, factors):
     y = {r["id"]: r["features"] for r in model.itemFactors.collect()}
     new = [(u, next(i for i in sorted(y, reverse=True) if (u, i) not in rows), 1) for u in x]
     pairs = spark.createDataFrame(new, "user int, item int, r int")
-    for block in (7, 4096):
-        got = {r["user"]: (r["position"], r["pct_rank"]) for r in RC.als_unseen_ranks(model, train, pairs, item_block=block).collect()}
+    for load in (20, 1 << 21):
+        got = {r["user"]: (r["position"], r["pct_rank"]) for r in RC.als_unseen_ranks(model, train, pairs, shard_load=load).collect()}
         for u, i, _ in new:
             score = {j: sum(a * b for a, b in zip(x[u], v)) for j, v in y.items() if (u, j) not in rows}
             higher = sum(s > score[i] + 1e-9 for s in score.values())
