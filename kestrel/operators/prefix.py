@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.operators.ranges import range_bucket
+from kestrel.operators.ranges import range_bucket_of
+from kestrel.session import cut_lineage
 
 _COMBINE = {"sum": lambda a, b: a + b, "count": lambda a, b: a + b,
             "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}
@@ -40,13 +41,22 @@ def prefix_agg(df: DataFrame, group_cols: list[str], order_cols: list[str],
     def srt(c: str) -> Column:
         return F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first()
 
-    ranged = df.withColumn("__pf_pid", range_bucket(df, [*group_cols, *order_cols], descending))
+    df = cut_lineage(df)  # the sample, the count and the rows below read what is written here
+    bucket, buckets = range_bucket_of(df, [*group_cols, *order_cols], descending)
+    ranged = df.withColumn("__pf_pid", bucket)
+    if buckets > 1:  # one exchange, which both branches below use
+        ranged = ranged.repartition("__pf_pid", *group_cols)
     w = Window.partitionBy("__pf_pid", *group_cols).orderBy(*[srt(c) for c in order_cols])
     frame = w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     local = ranged
     for out, col, fn in aggs:
         src = F.lit(1) if fn == "count" and col == "*" else F.col(col)
         local = local.withColumn("_l_" + out, _AGG[fn](src).over(frame))
+    if buckets < 2:
+        done = local
+        for out, _, fn in aggs:
+            done = done.withColumn(out, F.coalesce("_l_" + out, F.lit(0)) if fn in _ZERO else F.col("_l_" + out))
+        return done.drop("__pf_pid", *["_l_" + out for out, _, _ in aggs])
     totals = ranged.groupBy("__pf_pid", *group_cols).agg(
         *[_AGG[fn](F.lit(1) if fn == "count" and col == "*" else F.col(col)).alias("_t_" + out)
           for out, col, fn in aggs])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 40
 ROWS_PER_BUCKET = 50_000  # a smaller bucket is not worth a task
+MOST_BUCKETS = 1024  # literals of the expression; a bucket of any size is sorted within memory and disk
 
 
 def _literal(row, types: dict[str, str]) -> Column:
@@ -28,19 +29,23 @@ def _tree(key: Column, cuts: list[Column], low: int, high: int) -> Column:
 
 
 def range_bucket(df: DataFrame, cols: list[str], descending: bool = False) -> Column:
-    """Bucket number of each row in the order of ``cols`` (nulls first; reversed if descending).
+    """Bucket number of each row in the order of ``cols`` (nulls first; reversed if descending)."""
+    return range_bucket_of(df, cols, descending)[0]
 
-    As many buckets as the rows fill, one per shuffle partition at most. At most
-    ``SAMPLE_PER_BUCKET`` key rows per shuffle partition are collected.
+
+def range_bucket_of(df: DataFrame, cols: list[str], descending: bool = False) -> tuple[Column, int]:
+    """``range_bucket`` and the number of buckets.
+
+    As many buckets as the rows fill, one per shuffle partition and ``MOST_BUCKETS`` at most. At
+    most ``SAMPLE_PER_BUCKET`` key rows per bucket are collected.
     """
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    types = {c: df.schema[c].dataType.simpleString() for c in cols}
-    most = SAMPLE_PER_BUCKET * parts
-    sample = df.select(*cols).orderBy(F.rand(11)).limit(most).collect()
-    size = len(sample) if len(sample) < most else df.select(cols[0]).count()
+    parts = min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), MOST_BUCKETS)
+    size = df.select(cols[0]).count()
     buckets = min(parts, -(-size // ROWS_PER_BUCKET))
     if buckets < 2:
-        return F.lit(0)
+        return F.lit(0), 1
+    types = {c: df.schema[c].dataType.simpleString() for c in cols}
+    sample = df.select(*cols).orderBy(F.rand(11)).limit(SAMPLE_PER_BUCKET * buckets).collect()
     kept = df.sparkSession.createDataFrame(sample, df.select(*cols).schema) \
         .orderBy(*[F.col(c).asc_nulls_first() for c in cols]).collect()  # Spark's own order
     rows = [kept[len(kept) * k // buckets] for k in range(1, buckets)]
@@ -50,4 +55,4 @@ def range_bucket(df: DataFrame, cols: list[str], descending: bool = False) -> Co
             seen.add(tuple(r))
             cuts.append(_literal(r, types))
     number = _tree(F.struct(*[F.col(c) for c in cols]), cuts, 0, len(cuts))
-    return (F.lit(len(cuts)) - number if descending else number).cast("int")
+    return (F.lit(len(cuts)) - number if descending else number).cast("int"), buckets

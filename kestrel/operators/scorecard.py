@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kestrel.operators.prefix import prefix_agg
 from kestrel.operators.relational import unpivot
+from kestrel.operators.selection import values_at_ranks
 
 
 def _pct(a: Column, b: Column, digits: int = 2) -> Column:
@@ -42,24 +43,16 @@ def quantile_edges(df: DataFrame, col: str, bins: int = 10, group_cols: list[str
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_cols: list[str] | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles per group without merging a value map in
-    one task: distinct (group, value) counts, a skew-proof prefix count gives each
-    value's rank range, and only the rows holding a target rank (two per probability)
-    survive. q = v[lo] + (v[hi] - v[lo]) * (h - lo), h = p (n - 1)."""
+    """Exact linear-interpolation quantiles per group, by digit selection of the two values around
+    each: q = v[lo] + (v[hi] - v[lo]) * (h - lo), h = p (n - 1)."""
     g = group_cols or []
-    x = F.col(col).cast("double")
-    d = df.where(x.isNotNull()).groupBy(*g, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    pre = prefix_agg(d, g, ["_v"], [("_cb", "_c", "sum")], exclusive=True)
-    sizes = d.groupBy(*g).agg(F.sum("_c").alias("_n"))
-    j = pre.join(sizes, g) if g else pre.withColumn("_n", d.select(F.sum("_c")).scalar())
-    targets = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        for side, pos in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = (pos >= F.col("_cb")) & (pos < F.col("_cb") + F.col("_c"))
-            targets.append(F.when(hit, F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), F.col("_v").alias("v"),
-                                                 h.alias("h"))))
-    hits = j.select(*g, F.explode(F.filter(F.array(*targets), lambda t: t.isNotNull())).alias("t")).select(*g, "t.*")
+
+    def wanted(n: Column) -> Column:
+        h = [F.lit(float(p)) * (n - 1) for p in probs]
+        return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), x.alias("h"), pos(x).cast("long").alias("rank"))
+                         for i, x in enumerate(h) for side, pos in (("lo", F.floor), ("hi", F.ceil))])
+
+    hits = values_at_ranks(df.select(*g, F.col(col).cast("double").alias("_x")), "_x", g, wanted)
     per = hits.groupBy(*g, "i").agg(F.max(F.when(F.col("side") == "lo", F.col("v"))).alias("vlo"),
                                     F.max(F.when(F.col("side") == "hi", F.col("v"))).alias("vhi"),
                                     F.first("h").alias("h"))
