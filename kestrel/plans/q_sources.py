@@ -82,7 +82,7 @@ def q_save_candidates(t: Tables):
     FS.save_candidates(a, path, "Tfidf-char_wb-3-GRAM-1")
     FS.save_candidates(b, path, "Tfidf-word-1-GRAM-0")
     FS.save_candidates(a, path, "Tfidf-char_wb-3-GRAM-1")
-    return t.spark.read.parquet(path).select("input", "rank", "match", "score", "algorithm")
+    return FS.load_candidates(t.spark, path).select("input", "rank", "match", "score", "algorithm")
 
 
 @register("model_guard", f"""WITH {S.tfidf_ctes(FIELDS_SQL, TERMS_SQL, p='a_')}, {S.cosine_cte('a_')}, {S.topn_cte(3, 'a_')},
@@ -100,7 +100,20 @@ def q_model_guard(t: Tables):
         raise AssertionError("downgrade was not refused")
     except FS.ModelDowngrade:
         pass
-    return t.spark.read.parquet(path)
+    return FS.load_model(t.spark, path)
+
+
+@register("flat_export", """SELECT upper(p_type || '_' || replace(p_name, ' ', '_')) AS key, count(*) AS parts,
+  round(sum(p_retailprice), 2) AS price FROM part GROUP BY 1""")
+def q_flat_export(t: Tables):
+    """Fields exported as one ';'-separated table, replaced by a second export, and read back with a
+    declared schema."""
+    path = FS.scratch_path(t.spark, "export")
+    named = t.part.select(F.upper(F.concat(F.col("p_type"), F.lit("_"), F.regexp_replace("p_name", " ", "_"))).alias("key"), "p_retailprice")
+    out = named.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum("p_retailprice"), 2).alias("price"))
+    FS.write_csv(out.limit(0), path, ";")
+    FS.write_csv(out, path, ";")
+    return FS.scan_csv(t.spark, path, "key string, parts long, price double", ";")
 
 
 @register("run_metrics", """WITH j AS (SELECT l_extendedprice::DOUBLE AS a, (l_quantity * p_retailprice)::DOUBLE AS p

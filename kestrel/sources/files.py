@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.session import ensure_checkpoint_dir
+from kestrel.sources.snapshots import SnapshotMissing, folder_names, read_snapshot, replace_folder, versions, write_snapshot
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -49,8 +52,10 @@ def _allow_charset(spark: SparkSession, encoding: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:
+    """Flat export; an export that is there already is replaced once the new one is whole."""
     _allow_charset(df.sparkSession, encoding)
-    df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
+    replace_folder(df.sparkSession, path, lambda folder: df.write.option("header", True).option("sep", sep)
+                   .option("encoding", encoding).csv(folder))
 
 
 class DatasetMissing(Exception):
@@ -79,7 +84,7 @@ def melt_mappings(df: DataFrame) -> DataFrame:
 
 def dump_batches(df: DataFrame, path: str, batch_col: str) -> None:
     """Write a frame as one folder per batch value (partition discovery on read)."""
-    df.write.mode("overwrite").partitionBy(batch_col).parquet(path)
+    replace_folder(df.sparkSession, path, lambda folder: df.write.partitionBy(batch_col).parquet(folder))
 
 
 def load_batches(spark: SparkSession, paths: list[str], key: list[str] | None = None,
@@ -95,15 +100,16 @@ def load_batches(spark: SparkSession, paths: list[str], key: list[str] | None =
 
 
 def save_candidates(candidates: DataFrame, path: str, algorithm: str) -> None:
-    """Replace one algorithm's candidates, keep the others (dynamic partition overwrite)."""
-    spark = candidates.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        candidates.withColumn("algorithm", F.lit(algorithm)).write.mode("overwrite") \
-            .partitionBy("algorithm").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    """Replace one algorithm's candidates by a new version, keep the others."""
+    write_snapshot(candidates.withColumn("algorithm", F.lit(algorithm)), f"{path}/{quote(algorithm, safe='')}")
+
+
+def load_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Current candidates of all algorithms under ``path``."""
+    tables = [read_snapshot(spark, f"{path}/{name}") for name in folder_names(spark, path) if versions(spark, f"{path}/{name}")]
+    if not tables:
+        raise SnapshotMissing(f"no candidates under {path}")
+    return reduce(DataFrame.unionByName, tables)
 
 
 class ModelDowngrade(ValueError):
@@ -112,15 +118,20 @@ class ModelDowngrade(ValueError):
 
 def save_model(candidates: DataFrame, path: str, check: bool = True) -> None:
     """Save a mapping model (candidates of several algorithms); with ``check``, refuse
-    to replace a saved model that holds more algorithms than the new one."""
+    to replace a saved model that holds more algorithms than the new one. The model is a
+    snapshot (``sources.snapshots``): a lost job leaves the old one whole."""
     spark = candidates.sparkSession
     if check:
         saved = path_exists(spark, path)  # a saved model that cannot be read is an error, not a reason to replace it
-        old = spark.read.parquet(path).select(F.countDistinct("algorithm")).first()[0] if saved else 0
+        old = load_model(spark, path).select(F.countDistinct("algorithm")).first()[0] if saved else 0
         new = candidates.select(F.countDistinct("algorithm")).first()[0]
         if old > new:
             raise ModelDowngrade(f"{path} holds {old} algorithms, the new model {new}")
-    candidates.write.mode("overwrite").parquet(path)
+    write_snapshot(candidates, path)
+
+
+def load_model(spark: SparkSession, path: str) -> DataFrame:
+    return read_snapshot(spark, path)
 
 
 def log_metrics(spark: SparkSession, path: str, run: str, values: dict[str, float], kind: str = "metric") -> DataFrame:
