@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.components import components
-from kestrel.llm.staging import stage, text_batches
+from kestrel.llm.staging import stage, text_batches, tidied
 from kestrel.llm.textarrays import SPACED, Texts, Words, _spans, mix, ngrams, ragged, runs, slices
 
 LEAST_DIMENSIONS, MOST_DIMENSIONS = 64, 1 << 16  # coordinates of a count vector
+COARSE = 256  # coordinates at most of the points that travel with blocks and pairs
 _U = np.uint64
 
 
@@ -408,26 +409,37 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             for part, texts in slices(batch, "text"):
                 n, doc, grams = shingle_sets(texts, shingle)
                 cut = np.append(0, np.cumsum(n)).tolist()
-                points = [pack_point(count_vector(grams[a:b])) for a, b in zip(cut, cut[1:])]
+                vectors = [count_vector(grams[a:b]) for a, b in zip(cut, cut[1:])]
+                coarse = [pack_point(fold(v[None], min(len(v), COARSE))[0]) for v in vectors]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n.astype(np.int64)),
-                                                  pa.array(class_digests(n, doc, grams)), pa.array(points, pa.binary())],
-                                                 names=["doc_id", "row", "n", "class", "point"])
+                                                  pa.array(class_digests(n, doc, grams)), pa.array(list(map(pack_point, vectors)), pa.binary()),
+                                                  pa.array(coarse, pa.binary())], names=["doc_id", "row", "n", "class", "point", "coarse"])
 
     member = source.select("doc_id", "text", F.xxhash64("text").alias("row")) \
-        .mapInArrow(sized, f"doc_id {kind}, row long, n long, class long, point binary")
+        .mapInArrow(tidied(sized), f"doc_id {kind}, row long, n long, class long, point binary, coarse binary")
     member = stage(member, "classes")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = source.select("text").mapInArrow(_packed(shingle, percent, 16 * partitions), "bucket int, data binary")
+    packed = source.select("text").mapInArrow(tidied(_packed(shingle, percent, 16 * partitions)), "bucket int, data binary")
     blocks = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket") \
-        .mapInArrow(_blocks, "block long, class long, low long")
+        .mapInArrow(tidied(_blocks), "block long, class long, low long")
     blocks = stage(blocks.distinct(), "blocks")
-    light = member.filter("n > 0").select("class", "n", "point").dropDuplicates(["class"])
+    light = stage(member.filter("n > 0").select("class", "n", F.col("coarse").alias("point")).dropDuplicates(["class"]), "points")
+    fine = member.filter("n > 0").select("class", "n", "point")
+
+    def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+        """Pairs whose points allow a link."""
+        both = pairs
+        for s in "ab":
+            both = both.join(points.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("point").alias(f"p_{s}")), s)
+        return both.select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(tidied(_bounded(percent)), "a long, b long")
+
+    def by_fine_points(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose fine points, fetched for these alone, allow a link."""
+        some = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        return stage(bounded(pairs, fine.join(some, "class", "left_semi").dropDuplicates(["class"])), name)
 
     star = blocks.filter("class <> low").select(F.least("class", "low").alias("a"), F.greatest("class", "low").alias("b")).distinct()
-    pairs = star
-    for s in "ab":
-        pairs = pairs.join(light.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("point").alias(f"p_{s}")), s)
-    near = stage(pairs.select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(_bounded(percent), "a long, b long"), "near")
+    near = by_fine_points(stage(bounded(star, light), "near"), "near")
 
     def sets_of(classes: DataFrame, name: str) -> DataFrame:
         """Sets of one text of every class, of which only these texts are read again."""
@@ -461,7 +473,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def candidates(rows: DataFrame, checked: DataFrame, centres: int, name: str) -> DataFrame:
         met = rows.repartition(partitions, "block", "i", "j").sortWithinPartitions("block", "i", "j") \
-            .mapInArrow(_tree_join(percent, centres), "a long, b long").distinct()
+            .mapInArrow(tidied(_tree_join(percent, centres)), "a long, b long").distinct()
         return stage(met.join(checked, ["a", "b"], "left_anti"), name)
 
     def merged(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -475,10 +487,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # central members first: they join most of a group whose smallest member is an outlier
     checked, known = near, sets
     for centres, name in ((3, "central"), (0, "found")):
-        pairs = candidates(open_rows(label), checked, centres, name)
+        met = candidates(open_rows(label), checked, centres, name)
+        pairs = by_fine_points(met, name)
         known = known.unionByName(sets_of(classes_of(pairs).join(known.select("class"), "class", "left_anti"), "sets"))
         label = merged(label, stage(_verified(pairs, known, percent), "rest"))
-        checked = checked.unionByName(pairs)
+        checked = checked.unionByName(met)
 
     named = member.join(label.toDF("class", "c1"), "class", "left").withColumn("group", F.coalesce("c1", "class"))
     named = named.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.col("group")).alias("group"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kestrel.session import ensure_checkpoint_dir
@@ -29,11 +32,31 @@ def text_batches(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     known = spark.sparkContext.getConf()
     for key, value in BATCH.items():
-        if not known.contains(key):
+        if key not in _PLAIN:  # Spark's own value, as a session on which nobody has set anything has it
+            _PLAIN[key] = spark.newSession().conf.get(key, None)
+        if not known.contains(key) and spark.conf.get(key, None) in (None, _PLAIN[key]):
             spark.conf.set(key, value)
     return df
 
 
+_PLAIN: dict[str, str | None] = {}
+
+
+
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` for ``mapInArrow``, giving freed memory back when a task ends: workers live on through later stages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 #: Spark removes a query's shuffle files when the query ends (else when the driver collects garbage).
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

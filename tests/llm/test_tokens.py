@@ -122,3 +122,15 @@ def test_length_histogram(spark, library):
     q = {r["share"]: r["n_tokens"] for r in length_quantiles(histogram, [0.5, 1.0]).collect()}
     assert q == {0.5: sizes[(len(sizes) + 1) // 2 - 1], 1.0: sizes[-1]}
     assert length_histogram(token_lengths(frame(spark, []), PATH)).count() == 0
+
+
+def test_given_batch_settings_are_kept(spark):
+    from kestrel.llm.staging import text_batches
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "77")
+        text_batches(spark.range(1))
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.set(key, before)
