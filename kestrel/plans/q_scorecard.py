@@ -125,15 +125,18 @@ def q_woe(t: Tables):
     return out.withColumn("events_pct", F.round("events_pct", 6)).withColumn("non_events_pct", F.round("non_events_pct", 6))
 
 
-@register("woe_apply", f"""WITH {SC_SQL},
-long AS (SELECT 'l_quantity' AS predictor, l_quantity::DOUBLE::VARCHAR AS value, response, sample FROM sc
+WOE_JOIN_SQL = """long AS (SELECT 'l_quantity' AS predictor, l_quantity::DOUBLE::VARCHAR AS value, response, sample FROM sc
          UNION ALL SELECT 'l_linestatus', l_linestatus, response, sample FROM sc),
 g AS (SELECT predictor, value, count(*) AS n, sum(response) AS e FROM long WHERE sample = 'train' GROUP BY ALL),
 w AS (SELECT predictor, value, round(ln(round(greatest(n - e, 0.5) / sum(n - e) OVER (PARTITION BY predictor) * 100, 2)
-  / round(greatest(e, 0.5) / sum(e) OVER (PARTITION BY predictor) * 100, 2)), 4) AS woe FROM g)
-SELECT l_orderkey, l_linenumber, wq.woe AS l_quantity_woe, ws.woe AS l_linestatus_woe FROM sc
-LEFT JOIN w wq ON wq.predictor = 'l_quantity' AND wq.value = l_quantity::DOUBLE::VARCHAR
-LEFT JOIN w ws ON ws.predictor = 'l_linestatus' AND ws.value = l_linestatus""")
+  / round(greatest(e, 0.5) / sum(e) OVER (PARTITION BY predictor) * 100, 2)), 4) AS woe FROM g),
+coded AS (SELECT sc.*, wq.woe AS l_quantity_woe, ws.woe AS l_linestatus_woe FROM sc
+  LEFT JOIN w wq ON wq.predictor = 'l_quantity' AND wq.value = l_quantity::DOUBLE::VARCHAR
+  LEFT JOIN w ws ON ws.predictor = 'l_linestatus' AND ws.value = l_linestatus)"""
+
+
+@register("woe_apply", f"""WITH {SC_SQL}, {WOE_JOIN_SQL}
+SELECT l_orderkey, l_linenumber, l_quantity_woe, l_linestatus_woe FROM coded""")
 def q_woe_apply(t: Tables):
     s = sc(t)
     table = SC.woe_table(s.where(F.col("sample") == "train"), ["l_quantity", "l_linestatus"], "response")
@@ -298,13 +301,19 @@ def q_monotone_fold(t: Tables):
     return out.select("l_orderkey", "l_linenumber", "l_discount_fold")
 
 
-@register("cost_features", f"""WITH {SC_SQL}
-SELECT l_orderkey, l_linenumber, coalesce(abs(l_discount - 0.05), 0) AS l_discount_c_abs,
-  CASE WHEN l_tax > 0 THEN 1 ELSE 0 END AS l_tax_flag, coalesce(pow(l_quantity, 2), 0) AS l_quantity_sq FROM sc""")
+@register("cost_features", f"""WITH {SC_SQL}, {WOE_JOIN_SQL.replace("sample = 'train'", "sample = 'train' AND value <> 'F' AND value <> '7.0'")}
+SELECT l_orderkey, l_linenumber, coalesce(l_quantity_woe, 0) AS quantity_code, coalesce(l_linestatus_woe, 0) AS status_code,
+  coalesce(abs(l_discount - 0.05), 0) AS l_discount_c_abs,
+  CASE WHEN l_tax > 0 THEN 1 ELSE 0 END AS l_tax_flag, coalesce(pow(l_quantity, 2), 0) AS l_quantity_sq FROM coded""")
 def q_cost_features(t: Tables):
+    """WOE recodes of quantity and status from the training sample (a status and a quantity that it
+    leaves out count as 0), then absolute, flag and square."""
     s = sc(t).withColumn("l_discount_c", F.col("l_discount") - 0.05)
-    out = SC.cost_features(s, {}, ["l_discount_c"], ["l_tax"], ["l_quantity"])
-    return out.select("l_orderkey", "l_linenumber", "l_discount_c_abs", "l_tax_flag", "l_quantity_sq")
+    train = s.where(F.col("sample") == "train")
+    tables = [SC.woe_table(train.where(F.col(c).cast("string") != out), [c], "response") for c, out in (("l_linestatus", "F"), ("l_quantity", "7.0"))]
+    coded = SC.woe_apply(s, tables[0].unionByName(tables[1]), ["l_quantity", "l_linestatus"])
+    out = SC.cost_features(coded, {"l_quantity_woe": "quantity_code", "l_linestatus_woe": "status_code"}, ["l_discount_c"], ["l_tax"], ["l_quantity"])
+    return out.select("l_orderkey", "l_linenumber", "quantity_code", "status_code", "l_discount_c_abs", "l_tax_flag", "l_quantity_sq")
 
 
 # ---------------------------------------------------------------------------
