@@ -8,7 +8,7 @@ SUBSTRING = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) AS w FROM documents),
 win AS (SELECT doc_id, i AS pos, array_to_string(w[i:i + 19], ' ') AS s
         FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
-ord AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS k FROM win),
+ord AS (SELECT doc_id, pos, dense_rank() OVER (PARTITION BY s ORDER BY doc_id, pos) AS k FROM win),
 gone AS (SELECT DISTINCT doc_id, pos + j AS i FROM ord, unnest(range(0, 20)) AS t(j) WHERE k > 1),
 lists AS (SELECT doc_id, list(i ORDER BY i) AS bad FROM gone GROUP BY doc_id),
 kept AS (SELECT d.doc_id, len(w) AS n, coalesce(len(bad), 0) AS r,
