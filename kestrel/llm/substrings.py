@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.fmindex import FMIndex
-from kestrel.llm.staging import drop_staged, stage, text_batches
+from kestrel.llm.staging import drop_staged, stage, text_batches, tidied
 from kestrel.llm.textarrays import SPACED, Texts, Words, _spans, distinct, mix, ngrams, runs, slices, window_minima, with_field
 
 
@@ -201,18 +201,18 @@ def gone_windows(source: DataFrame, width: int, anchor: int, hot: int) -> DataFr
     keyed = source.select(F.xxhash64("id", "row").alias("key"), "id", "row", "text")
     spark = source.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = keyed.select("key", "text").mapInArrow(_anchors(width, anchor), "anchor long, places array<struct<key:long,at:int>>, n long")
+    sent = keyed.select("key", "text").mapInArrow(tidied(_anchors(width, anchor)), "anchor long, places array<struct<key:long,at:int>>, n long")
     sent = stage(sent, "anchors")
     repeated = sent.groupBy("anchor").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("slices")).filter("n > 1")
     place = sent.join(repeated.select("anchor", (F.col("slices") > hot).cast("int").alias("hot")), "anchor") \
         .select("hot", F.inline("places")).select("key", (F.col("at").cast("long") * 2 + F.col("hot")).alias("place"))
-    wanted = stage(place.groupBy("key").agg(F.collect_list("place").alias("places")), "places")  # bounded by the document
+    wanted = stage(place.groupBy("key").agg(F.collect_set("place").alias("places")), "places")  # bounded by the document
     drop_staged(sent)
     some = keyed.join(wanted, "key").select("key", "id", "row", "places", "text")
-    segments = some.mapInArrow(_segments(width, anchor), "shard long, id long, row long, start long, windows long, words binary")
+    segments = some.mapInArrow(tidied(_segments(width, anchor)), "shard long, id long, row long, start long, windows long, words binary")
     shard = F.when(F.col("words").isNull(), F.xxhash64("id", "row", "start")).otherwise(F.col("shard"))
     places = segments.withColumn("shard", shard).repartition(partitions, "shard").sortWithinPartitions("shard") \
-        .mapInArrow(_search(width), "id long, row long, start long, windows long")
+        .mapInArrow(tidied(_search(width)), "id long, row long, start long, windows long")
     gone = stage(places, "gone")
     drop_staged(wanted)
     return gone.groupBy("id", "row").agg(F.collect_set(F.struct("start", "windows")).alias("gone"))

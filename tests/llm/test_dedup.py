@@ -247,3 +247,11 @@ def test_pipeline(spark, tmp_path):
     got = {r["doc_id"]: r["ids"] for r in tables[-1].collect()}
     assert got == {r[0]: library.encode(r[1], add_special_tokens=False).ids for r in seen[4]}
     assert P.run(spark, str(tmp_path)).count() == len(got)
+
+
+def test_substrings_many_equal_rows_are_linear(spark):
+    """Rows equal in id and text share one list of places (each place once)."""
+    text = words(random.Random(2), 100, 10**6)
+    docs = frame(spark, [(None, text, "", "", 0)] * 20_000)
+    got = removal_digest(remove_repeats(docs)).groupBy("n_words", "n_removed").count().collect()
+    assert [tuple(r) for r in got] == [(100, 0, 20_000)]
