@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.staging import text_batches
+from kestrel.llm.staging import text_batches, tidied
 from kestrel.llm.textarrays import ragged, slices
 from kestrel.llm.tokens import ChunkEncoder, worker_encoder
 
@@ -101,7 +101,7 @@ class Vocabulary:
                     top, right_top, a = ra, False, self.parts[a][1]
                 else:
                     top, right_top, b = rb, True, self.parts[b][0]
-            if len(self._fits) > 400_000:
+            if len(self._fits) > 100_000:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -138,9 +138,19 @@ class Vocabulary:
                 token = last
 
 
+_VOCABULARIES: dict[str, Vocabulary] = {}
+
+
+def worker_vocabulary(path: str) -> Vocabulary:
+    """One vocabulary per Python worker, for its encoder and its decoder."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
+
+
 def backtracking_encoder(path: str) -> ChunkEncoder:
     """Encoder of whole texts over the vocabulary file at ``path``."""
-    vocab, split = Vocabulary(path), regex.compile(WORD)
+    vocab, split = worker_vocabulary(path), regex.compile(WORD)
     cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True))) + ")") \
         if vocab.special else None
     known: dict[str, list[int]] = {}
@@ -150,7 +160,7 @@ def backtracking_encoder(path: str) -> ChunkEncoder:
         for word in split.findall(chunk):
             ids = known.get(word)
             if ids is None:
-                if len(known) > 150_000:
+                if len(known) > 80_000:
                     known.clear()
                 ids = known[word] = vocab.encode_word(word.encode())
             out += ids
@@ -170,14 +180,14 @@ def backtracking_encoder(path: str) -> ChunkEncoder:
             sizes.append(len(ids))
         return np.array(found, np.uint32), np.array(sizes, np.int64)
 
-    return ChunkEncoder(chunks, list(vocab.special), most=400_000)
+    return ChunkEncoder(chunks, list(vocab.special), most=64 << 20)
 
 
 class OffsetDecoder:
     """Bytes of all tokens end to end, with the offset of each id."""
 
     def __init__(self, path: str):
-        vocab = Vocabulary(path)
+        vocab = worker_vocabulary(path)
         names = vocab.bytes_of | {i: t.encode() for t, i in vocab.special.items()}
         self.size = np.zeros(max(names) + 1, np.int64)
         for i, b in names.items():
@@ -265,5 +275,5 @@ def bpe_round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return source.mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
                              + ", ids array<int>" * with_ids)

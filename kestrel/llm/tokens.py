@@ -39,17 +39,21 @@ def chunk_starts(texts: Texts, visible: np.ndarray = _VISIBLE) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+#: Memory of a chunk in the table beside its bytes and ids: the key object, its slot and its number.
+ENTRY_BYTES = 160
+
+
 class ChunkEncoder:
-    """Ids of whole texts; ``encode`` gives (ids end to end, ids per chunk), ``most`` bounds the table."""
+    """Ids of whole texts; ``encode`` gives (ids end to end, ids per chunk), ``most`` bounds the table's bytes."""
 
-    def __init__(self, encode: Encode, special: list[str], most: int = 1_000_000):
+    def __init__(self, encode: Encode, special: list[str], most: int = 96 << 20):
         self.encode, self.most, self.visible = encode, most, visible_but(special)
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.begin, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
-        self.used = 0
+        self.used = self.held = 0
 
     def _learn(self, chunks: list[bytes]) -> None:
         ids, sizes = self.encode(chunks)
@@ -61,6 +65,7 @@ class ChunkEncoder:
         self.begin[n + 1: n + len(chunks) + 1] = self.used + np.cumsum(sizes)
         self.ids[self.used: self.used + total] = ids
         self.used += total
+        self.held += sum(map(len, chunks)) + ENTRY_BYTES * len(chunks) + 4 * total
         self.place.update(zip(chunks, range(n, n + len(chunks))))
 
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +77,7 @@ class ChunkEncoder:
         sample, which = distinct(span_digests(texts, starts, ends))
         raw = texts.data.tobytes()
         keys = [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
-        if len(self.place) > self.most:
+        if self.held > self.most:
             self._clear()
         self._learn(list(dict.fromkeys(k for k in keys if k not in self.place)))
         entry = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
