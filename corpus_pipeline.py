@@ -11,17 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm.bpe import bpe_round_trip
-from kestrel.llm.cotrain import drop_rejected, fit_quality_model
+from kestrel.llm.cotrain import drop_rejected, fit_quality_model, quality_features
 from kestrel.llm.countjoin import jaccard_components
 from kestrel.llm.queries import TOKENIZER, table
-from kestrel.llm.staging import stage
+from kestrel.llm.staging import drop_staged, stage
 from kestrel.llm.substrings import remove_repeats
 from kestrel.llm.winnow import decontaminate
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
-    return drop_rejected(docs, fit_quality_model(docs, table(spark, sf_dir, "labels")))
+    features = quality_features(docs)
+    model = fit_quality_model(docs, table(spark, sf_dir, "labels"), features=features)
+    drop_staged(features)
+    return drop_rejected(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ from the same labelled documents; each round, both models score all unlabelled d
 those that one is most sure of join the other model's training set. Both scores are calibrated
 on held-out labels and combined by a third fit over the two. What is fitted on is bounded
 (``max_labelled`` documents, picked by a digest of the id, and ``per_round`` of each round and
-view); every document is scored, over its whole text.
+view; a linear model uses at most 6000 buckets, those that stand out by over 2.5 standard
+deviations among the labelled); every document is scored, over its whole text. The features of
+all documents are written once, as bucket lists, which sample, rounds and result read.
 
 A document is bad when it is labelled quality 0 or toxic 1. Defined cases: a null text is an
 empty one; null metadata is a value of its own; several label rows of one id are bad if any
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.cascade import Features
-from kestrel.llm.staging import drop_staged, stage, text_batches
+from kestrel.llm.staging import drop_staged, stage, text_batches, tidied
 from kestrel.llm.textarrays import ALNUM, Texts, Words, mix, slices, span_digests, texts_of, with_field
 
 BUCKETS = 1 << 20
@@ -208,54 +210,70 @@ def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                                      *[F.col(c).cast("string").alias(c) for c in META])
 
 
-def _sample(source: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """Bounded labelled documents: (doc_id, text, metadata, key, y), picked by a digest of the id."""
-    marked = labels.groupBy("doc_id").agg(F.max("y").alias("y"))
-    ids = source.select("doc_id").filter("doc_id is not null").distinct()
-    known = ids.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    return source.join(F.broadcast(known), "doc_id")  # at most max_labelled ids
+def _listed(feature: tuple[np.ndarray, np.ndarray], n: int) -> pa.Array:
+    """Buckets of each row, ascending."""
+    at, bucket = feature
+    order = np.lexsort((bucket, at))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at[order], np.arange(n + 1)).astype(np.int32)), pa.array(bucket[order].astype(np.int32)))
+
+
+def quality_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, key, text, meta): the buckets of both views of every row, written once.
 
+    ``key`` is a digest of every column that is read; rows equal in it are equal here.
+    """
+    source = _source(docs, doc_id, text)
+    columns = ("doc_id", "text", *META)
+    source = source.select("doc_id", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]).alias("key"), "text", *META)
 
-def _features(rows: DataFrame) -> pa.Table:
-    """(doc_id, key, text, meta, y) of few rows: features of both views, in an order of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                lists = []
-                for at, bucket in (text_features(texts), meta_features(part)):
-                    order = np.argsort(at, kind="stable")
-                    cut = np.searchsorted(at[order], np.arange(len(texts) + 1)).astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket[order].astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(5), *lists, part.column(6).cast(pa.int32())],
-                                                 names=["doc_id", "key", "text", "meta", "y"])
-
-    got = rows.select("doc_id", "text", *META, "key", "y").mapInArrow(
-        run, "doc_id string, key long, text array<int>, meta array<int>, y int").toArrow().combine_chunks()
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _listed(text_features(texts), n), _listed(meta_features(part), n)],
+                                                 names=["doc_id", "key", "text", "meta"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return stage(source.mapInArrow(tidied(run), f"doc_id {kind}, key long, text array<int>, meta array<int>"), "features")
+
+
+def _sample(features: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """At most ``max_labelled`` different labelled rows, picked by a digest of the id: (doc_id, key, text, meta, y)."""
+    marked = labels.groupBy("doc_id").agg(F.max("y").alias("y"))
+    rows = features.select("doc_id", "key").filter("doc_id is not null").distinct()
+    known = rows.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(max_labelled)
+    return features.join(F.broadcast(known.select("key", "y")), "key").dropDuplicates(["key"])  # at most max_labelled keys
+
+
+def _collected(rows: DataFrame) -> pa.Table:
+    """(doc_id, key, text, meta, y) of few rows, in an order of their own."""
+    got = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "key", "text", "meta", "y").toArrow().combine_chunks()
     names, keys = got.column("doc_id").to_pylist(), got.column("key").to_pylist()
     order = sorted(range(len(got)), key=lambda i: (names[i] or "", keys[i]))  # so that the fit does not depend on task order
     return got.take(pa.array(np.array(order, np.int64)))
 
 
-def _pairs(got: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-    column = got.column(name).combine_chunks()
+def _pairs(got: pa.Table | pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    column = got.column(name)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     size = np.asarray(column.value_lengths()) if len(column) else np.empty(0, int)
-    return np.repeat(np.arange(len(column)), size), np.asarray(column.flatten(), np.int64)
+    return np.repeat(np.arange(len(column)), size), np.asarray(column.flatten()).astype(np.int64)
 
 
-def _surest(source: DataFrame, labels: DataFrame) -> Callable:
+def _surest(features: DataFrame, labels: DataFrame) -> Callable:
     """Search of the surest documents among all without a label; rows equal in every column that is read count once."""
     def search(models: dict, taken: dict, want: dict, sure: float) -> dict:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, texts in slices(batch, "text"):
-                    p = []
-                    for v, feature in (("text", text_features(texts, models["text"][0].known())), ("meta", meta_features(part))):
-                        model, scale = models[v]
-                        p.append(pa.array(sigmoid(model.score(*feature, len(texts)) * scale[0] + scale[1])))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), *p], names=["doc_id", "key", "text", "meta"])
-
-        kind = source.schema["doc_id"].dataType.simpleString()
-        scored = source.select("doc_id", "text", *META, "key").mapInArrow(run, f"doc_id {kind}, key long, text double, meta double") \
+                p = []
+                for v in ("text", "meta"):
+                    model, scale = models[v]
+                    p.append(pa.array(sigmoid(model.score(*_pairs(batch, v), len(batch)) * scale[0] + scale[1])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *p], names=["doc_id", "key", "text", "meta"])
+
+        kind = features.schema["doc_id"].dataType.simpleString()
+        scored = features.mapInArrow(run, f"doc_id {kind}, key long, text double, meta double") \
             .filter(" or ".join(f"{v} >= {sure} or {v} <= {1 - sure}" for v in models))
         scored = stage(scored.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "text", "meta").distinct(), "sure")
         marks: dict[str, dict] = {v: {} for v in models}
@@ -266,8 +284,8 @@ def _surest(source: DataFrame, labels: DataFrame) -> Callable:
                 marks[v].update((k, float(mark)) for k in free[: want[mark]])
         drop_staged(scored)
         keys = sorted({k for m in marks.values() for k in m})
-        picked = source.sparkSession.createDataFrame([(k,) for k in keys], "key long")
-        got = _features(source.join(F.broadcast(picked), "key").withColumn("y", F.lit(-1)).dropDuplicates(["key"]))
+        picked = features.sparkSession.createDataFrame([(k,) for k in keys], "key long")
+        got = _collected(features.join(F.broadcast(picked), "key").withColumn("y", F.lit(-1)).dropDuplicates(["key"]))
         out = {}
         for v, mark in marks.items():
             own = got.filter(pa.array([k in mark for k in got.column("key").to_pylist()], pa.bool_()))
@@ -278,36 +296,35 @@ def _surest(source: DataFrame, labels: DataFrame) -> Callable:
     return search
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                      max_labelled: int = 8000, rounds: int = 3, per_round: int = 300, sure: float = 0.95) -> CoTrained:
-    """Fit both views on at most ``max_labelled`` labelled documents and the surest of all others."""
+def fit_quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = 8000,
+                      rounds: int = 3, per_round: int = 300, sure: float = 0.95, features: DataFrame | None = None) -> CoTrained:
+    """Fit both views on at most ``max_labelled`` labelled documents and the surest of all others.
+
+    ``features`` are those of ``docs`` where they have been written already.
+    """
+    features = quality_features(docs, doc_id, text) if features is None else features
     bad = F.greatest(1 - F.col("quality").cast("int"), F.col("toxic").cast("int"))  # nulls are skipped
     marked = labels.select(F.col("doc_id"), bad.alias("y")).filter("doc_id is not null and y is not null")
-    source = _source(docs, doc_id, text)
-    columns = ("doc_id", "text", *META)
-    source = source.withColumn("key", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
-    got = _features(_sample(source, marked, max_labelled))
+    got = _collected(_sample(features, marked, max_labelled))
     names = texts_of(got.column("doc_id"))
     fold = span_digests(names, names.off[:-1], names.off[1:]) % np.uint64(1 << 20)
     return co_train(_pairs(got, "text"), _pairs(got, "meta"), np.asarray(got.column("y"), np.int64), fold, rounds, per_round, sure,
-                    _surest(source, marked))
+                    _surest(features, marked))
 
 
-def score_quality(docs: DataFrame, model: CoTrained, doc_id: str = "doc_id", text: str = "text",
-                  threshold: float = 0.5) -> DataFrame:
+def score_quality(docs: DataFrame, model: CoTrained, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5,
+                  features: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_score, meta_score, score, rejected) of every document: chances of being bad."""
-    source = _source(docs, doc_id, text)
+    features = quality_features(docs, doc_id, text) if features is None else features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, "text"):
-                n = len(texts)
-                a, b, c = model.scores(model.text.score(*text_features(texts, model.text.known()), n), model.meta.score(*meta_features(part), n))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a), pa.array(b), pa.array(c), pa.array(c >= threshold)],
-                                                 names=["doc_id", "text_score", "meta_score", "score", "rejected"])
+            a, b, c = model.scores(*(m.score(*_pairs(batch, v), len(batch)) for v, m in (("text", model.text), ("meta", model.meta))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), pa.array(c), pa.array(c >= threshold)],
+                                             names=["doc_id", "text_score", "meta_score", "score", "rejected"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_score double, "
-                                  "meta_score double, score double, rejected boolean")
+    return features.mapInArrow(run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, text_score double, "
+                                    "meta_score double, score double, rejected boolean")
 
 
 def drop_rejected(docs: DataFrame, model: CoTrained, doc_id: str = "doc_id", text: str = "text",
@@ -324,4 +341,4 @@ def drop_rejected(docs: DataFrame, model: CoTrained, doc_id: str = "doc_id", tex
                 score = model.scores(model.text.score(*text_features(texts, model.text.known()), n), model.meta.score(*meta_features(part), n))[2]
                 yield pa.RecordBatch.from_arrays([part.column(0)], names=["whole"]).filter(pa.array(score < threshold))
 
-    return plain.mapInArrow(run, f"whole {plain.schema['whole'].dataType.simpleString()}").select("whole.*")
+    return plain.mapInArrow(tidied(run), f"whole {plain.schema['whole'].dataType.simpleString()}").select("whole.*")

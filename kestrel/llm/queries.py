@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kestrel.llm import sql
 from kestrel.llm.bpe import bpe_round_trip
 from kestrel.llm.cascade import BASE, quality_cascade
-from kestrel.llm.cotrain import fit_quality_model, score_quality
+from kestrel.llm.cotrain import fit_quality_model, quality_features, score_quality
 from kestrel.llm.countjoin import jaccard_components
 from kestrel.llm.huffman import token_index, write_token_ids
 from kestrel.llm.lengths import length_histogram, token_lengths
@@ -96,7 +96,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_quality(docs, fit_quality_model(docs, table(spark, sf_dir, "labels")))
+    features = quality_features(docs)
+    return score_quality(docs, fit_quality_model(docs, table(spark, sf_dir, "labels"), features=features), features=features)
 
 
 @query("op11_conversation_repair", sql.REPAIR)

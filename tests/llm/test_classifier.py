@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from kestrel.llm.cotrain import drop_rejected, fit_quality_model, meta_features, score_quality
+from kestrel.llm.cotrain import _sample, drop_rejected, fit_quality_model, meta_features, quality_features, score_quality
 from tests.llm.cases import documents, frame, words
 
 
@@ -60,3 +60,13 @@ def test_awkward_tables(spark):
         assert score_quality(docs.limit(0), model).count() == 0
     assert fit_quality_model(docs.limit(0), labels) is not None
     assert score_quality(docs, model).filter(F.col("score").isNull()).isEmpty()
+
+
+def test_one_id_on_many_rows_counts_rows(spark):
+    """The bound is on rows, not on ids: many equal rows are one, many different ones are cut to the bound."""
+    rows = [(7, "one text", "en", "web", 0)] * 500 + [(8, f"text {i}", "en", "web", 0) for i in range(300)] + [(i, "x y", "en", "web", 0) for i in range(20, 40)]
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0)] + [(i, 1, 0) for i in range(20, 40)], "doc_id long, y int, z int")
+    features = quality_features(frame(spark, rows))
+    got = _sample(features, labels.select("doc_id", "y"), 50)
+    assert got.count() == 50 and got.select("key").distinct().count() == 50
+    assert _sample(features, labels.select("doc_id", "y"), 1000).count() == 1 + 300 + 20
