@@ -122,44 +122,64 @@ class Code:
 
 
 def _blocks(path: str, end_id: int):
-    """Sorted documents of a partition to blocks of ids with the document pieces they cover."""
+    """Sorted documents of a partition to blocks of ids with the document pieces they cover.
+
+    The last row, of block -1, has the partition's ids and their counts in ``doc_no`` and ``piece_at``.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = worker_encoder(library_encoder, path), TaskContext.get().partitionId()
         held: list[np.ndarray] = []
-        pieces: list[tuple] = []  # (doc_id, number of the document in the part, offset in it, ids)
-        size = block = position = number = 0
+        pieces: list[tuple] = []  # (doc_id, number of the document in the part, offset in it, ids), arrays
+        size = block = number = 0
+        total = np.zeros(0, np.int64)
+        kind = pa.int64()
+
+        def row(block_: int, n: int, ids: np.ndarray, names: pa.Array, no, offset, count) -> pa.RecordBatch:
+            lists = [names, pa.array(no, pa.int64()), pa.array(offset, pa.int64()), pa.array(count, pa.int32())]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part]), pa.array([block_]), pa.array([max(block_, 0) * BLOCK_IDS]), pa.array([n], pa.int32()),
+                 pa.array([ids.itemsize], pa.int32()), pa.array([ids.tobytes()], pa.binary()), *lists],
+                names=["part", "block", "position", "n_ids", "width", "ids", "doc_id", "doc_no", "piece_at", "piece_n"])
 
         def flush() -> pa.RecordBatch:
+            nonlocal total
             ids = np.concatenate(held).astype(np.uint32)
-            small = ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")
+            seen = np.bincount(ids, minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
             names, no, offset, n = zip(*pieces)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([block]), pa.array([position]), pa.array([len(ids)], pa.int32()),
-                 pa.array([small.itemsize], pa.int32()), pa.array([small.tobytes()], pa.binary()),
-                 pa.array([names], pa.list_(kind)), pa.array([no], pa.list_(pa.int64())),
-                 pa.array([offset], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int32()))],
-                names=["part", "block", "position", "n_ids", "width", "ids", "doc_id", "doc_no", "piece_at", "piece_n"])
+            return row(block, len(ids), ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4"),
+                       pa.concat_arrays(names), *map(np.concatenate, (no, offset, n)))
 
-        kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             for rows, texts in slices(batch, "text"):
-                ids, off = encode(texts)
-                names = rows.column(0).to_pylist()
-                for i in range(len(texts)):
-                    own = np.append(ids[off[i]: off[i + 1]], np.uint32(end_id))
-                    done = 0
-                    while done < len(own):
-                        take = min(len(own) - done, BLOCK_IDS - size)
-                        held.append(own[done: done + take])
-                        pieces.append((names[i], number, done, take))
-                        size, done = size + take, done + take
-                        if size == BLOCK_IDS:
-                            yield flush()
-                            block, position, size, held, pieces = block + 1, position + size, 0, [], []
-                    number += 1
+                plain, off = encode(texts)
+                begin = off + np.arange(len(off))  # of each document once every one has its end id
+                ids = np.full(int(begin[-1]), end_id, np.uint32)
+                inside = np.ones(len(ids), bool)
+                inside[begin[1:] - 1] = False
+                ids[inside] = plain
+                cuts = np.arange(BLOCK_IDS - size, len(ids), BLOCK_IDS)
+                start = np.union1d(begin[:-1], cuts)
+                doc = np.searchsorted(begin, start, side="right") - 1
+                count = np.diff(np.append(start, len(ids)))
+                names = rows.column(0)
+                edge, done = np.searchsorted(start, np.append(cuts, len(ids))).tolist(), 0
+                for a, b, to in zip([0, *edge], edge, [*cuts.tolist(), len(ids)]):
+                    if b > a:
+                        held.append(ids[done:to])
+                        pieces.append((names.take(pa.array(doc[a:b])), number + doc[a:b], start[a:b] - begin[doc[a:b]], count[a:b]))
+                        size, done = size + to - done, to
+                    if size == BLOCK_IDS:
+                        yield flush()
+                        block, size, held, pieces = block + 1, 0, [], []
+                number += len(texts)
         if size:
             yield flush()
+        seen = np.flatnonzero(total)
+        yield row(-1, 0, np.empty(0, "<u2"), pa.array([], kind), seen, total[seen], [])
 
     return run
 
@@ -171,18 +191,6 @@ def _piece_keys(kind: str) -> str:
     return f"doc_id array<{kind}>, doc_no array<long>, piece_at array<long>, piece_n array<int>"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for width, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            got = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{width}"))
-            if len(got) > len(total):
-                total = np.append(total, np.zeros(len(got) - len(total), np.int64))
-            total[: len(got)] += got
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
-
-
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
                     end_id: int = 2, max_bits: int = 20) -> None:
     """Tokenise every whole text and write the file set into folder ``path``."""
@@ -191,7 +199,8 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "d
     order = ["doc_id", F.xxhash64("text")]
     plain = stage(source.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
         _blocks(tokenizer, end_id), f"{_BLOCK_KEYS}, width int, ids binary, {_piece_keys(kind)}"), "ids")
-    counts = plain.select("width", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    tally = F.arrays_zip(F.col("doc_no").alias("id"), F.col("piece_at").alias("n"))
+    counts = plain.filter("block < 0").select(F.inline(tally)).groupBy("id").agg(F.sum("n").alias("n"))
     found = counts.orderBy("id").collect()  # bounded by the vocabulary
     ids = np.array([r["id"] for r in found], np.int64)
     lengths = code_lengths(np.array([r["n"] for r in found], np.int64), max_bits) if found else np.empty(0, np.int64)
@@ -211,7 +220,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "d
             yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "position", "n_ids", "checkpoints", "bits",
                                                              "doc_id", "doc_no", "piece_at", "piece_n"])
 
-    packed = plain.mapInArrow(pack, f"{_BLOCK_KEYS}, checkpoints array<int>, bits binary, {_piece_keys(kind)}")
+    packed = plain.filter("block >= 0").mapInArrow(pack, f"{_BLOCK_KEYS}, checkpoints array<int>, bits binary, {_piece_keys(kind)}")
     write_cleanly(packed, f"{path}/blocks", "lz4_raw")
     drop_staged(plain)
 
