@@ -5,6 +5,8 @@ All functions are DataFrame -> DataFrame compositions of built-in expressions.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,23 +123,80 @@ def boxcox_lambda(df: DataFrame, col: str, group_cols: list[str] | None = None,
     """Maximum-likelihood Box-Cox lambda per group, on a lambda grid, in one pass.
 
     llf(l) = -(n/2) ln(var_l) + (l-1) sum(ln y), var_l the (biased) variance of the
-    transformed values. Each row is exploded over the grid (a fixed number of
-    lambdas), aggregated per (group, lambda), and the best lambda is kept with max_by.
+    transformed values. A task transforms its rows with all lambdas in Arrow batches and returns
+    one row of moments per group and lambda, which are put together by group; the best lambda is kept with max_by.
     """
     group_cols = group_cols or []
     lo, hi, step = grid
-    k = int(round((hi - lo) / step))
-    lam = F.explode(F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.round(i * step + lo, 6)))
+    lams = [round(i * step + lo, 6) for i in range(int(round((hi - lo) / step)) + 1)]
     y = F.col(col).cast("double")
-    rows = df.where(y > 0).select(*group_cols, y.alias("_y"), lam.alias("lmbda"))
-    t = F.when(F.col("lmbda") == 0, F.log("_y")).otherwise((F.pow("_y", F.col("lmbda")) - 1) / F.col("lmbda"))
-    agg = rows.groupBy(*group_cols, "lmbda").agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop(t).alias("v"), F.sum(F.log("_y")).alias("sl"))
-    llf = -(F.col("n") / 2.0) * F.log("v") + (F.col("lmbda") - 1) * F.col("sl")
-    return agg.withColumn("llf", llf).groupBy(*group_cols).agg(
+    named = {c: f"_g{i}" for i, c in enumerate(group_cols)}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.where(y > 0).select(*[F.col(c).alias(n) for c, n in named.items()], y.alias("_y")).repartition(parts)
+    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in named.values()]
+    kept = rows.mapInArrow(_boxcox_moments(list(named.values()), lams),
+                           ", ".join([*kinds, "lmbda double", "n long", "m double", "m2 double", "sl double"]))
+    # moments about the smallest mean: exactly 0 where all values are the same
+    keys = [*named.values(), "lmbda"]
+    least = F.min("m").over(Window.partitionBy(*keys))
+    kept = kept.withColumn("d", F.col("m") - least)
+    agg = kept.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("sl").alias("sl"), F.sum("m2").alias("m2"),
+                                  F.sum(F.col("n") * F.col("d")).alias("s1"), F.sum(F.col("n") * F.col("d") * F.col("d")).alias("s2"))
+    v = (F.col("m2") + F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0))) / F.col("n")
+    llf = -(F.col("n") / 2.0) * F.log(v) + (F.col("lmbda") - 1) * F.col("sl")
+    return agg.withColumn("llf", llf).groupBy(*[F.col(n).alias(c) for c, n in named.items()]).agg(
         F.max_by("lmbda", "llf").alias("lmbda"), F.max("llf").alias("llf"))
 
 
+def _boxcox_moments(keys: list[str], lams: list[float], block: int = 4096, held: int = 512):
+    """Per group and lambda: count, mean and summed squares about it of the transformed values, and sum(ln y).
+    At most ``held`` groups are kept at a time; what is returned early is put together later."""
+    lam = np.array(lams)[:, None]
+    some = np.where(lam == 0, 1.0, lam)
+
+    def rows_of(found: dict, kind: pa.Schema) -> pa.RecordBatch:
+        k = len(lams)
+        columns = [pa.array([g[i] for g in found for _ in range(k)], kind.field(c).type) for i, c in enumerate(keys)]
+        n, m, m2, sl = ([f[i] for f in found.values()] for i in range(4))
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array(np.tile(np.array(lams), len(found))), pa.array(np.repeat(np.array(n, np.int64), k)),
+             pa.array(np.concatenate(m)), pa.array(np.concatenate(m2)), pa.array(np.repeat(np.array(sl), k))],
+            names=[*keys, "lmbda", "n", "m", "m2", "sl"])
+
+    def add(found: dict, group: tuple, y: np.ndarray) -> None:
+        ln = np.log(y)
+        t = np.where(lam == 0, ln, (np.power(y, lam) - 1) / some)
+        t0 = t[:, :1]
+        m = (t0 + (t - t0).sum(1, keepdims=True) / len(y))
+        m2, m, n, sl = ((t - m) ** 2).sum(1), m[:, 0], len(y), float(ln.sum())
+        if group in found:
+            n0, mean, square, s0 = found[group]
+            d = m - mean
+            m, m2, n, sl = mean + d * n / (n0 + n), square + m2 + d * d * (n0 * n / (n0 + n)), n0 + n, s0 + sl
+        found[group] = n, m, m2, sl
+
+    def run(batches):
+        found: dict = {}
+        for batch in batches:
+            y = batch.column("_y").to_numpy(zero_copy_only=False)
+            names = list(zip(*[batch.column(c).to_pylist() for c in keys])) if keys else [()] * len(y)
+            number: dict = {}
+            code = np.array([number.setdefault(g, len(number)) for g in names], np.int64)
+            by = np.argsort(code, kind="stable")
+            first = np.searchsorted(code[by], np.arange(len(number) + 1))
+            for g, a, b in zip(number, first, first[1:]):
+                for at in range(a, b, block):
+                    add(found, g, y[by[at:min(b, at + block)]])
+                if len(found) >= held:
+                    yield rows_of(found, batch.schema)
+                    found = {}
+            schema = batch.schema
+        if found:
+            yield rows_of(found, schema)
+
+    return run
+
+
 def unpivot(df: DataFrame, ids: list[str], values: list[str], var: str = "variable",
             val: str = "value") -> DataFrame:
     cast = [F.col(v).cast("double").alias(v) for v in values]
