@@ -131,3 +131,34 @@ def test_stats_with_a_third_sample_in_order(spark):
     got = train_test_stats(df, "s", "g", "y", valid="valid", order_by="o").collect()
     assert [r["g"] for r in got] == ["c", "a", "b", "Total"] and [r["valid_obs"] for r in got] == [1, 1, 0, 2]
     assert [r["er_valid_pct"] for r in got] == [0.0, 100.0, 0.0, 50.0]
+
+
+def test_boxcox_lambda_by_moments(spark):
+    """Moments of many batches and groups give the likelihood of the definition; equal values have none."""
+    import math
+
+    import numpy as np
+
+    from kestrel.operators import relational as R
+    rnd = np.random.default_rng(5)
+    y = {f"g{k}": np.exp(rnd.normal(k % 3, 1, 40)) for k in range(4)}
+    rows = [(g, float(v)) for g, vs in y.items() for v in vs] + [("same", 7.3)] * 30 + [(None, 2.0), (None, 5.0), ("low", -1.0), ("low", None)]
+    got = {r.g: r for r in R.boxcox_lambda(spark.createDataFrame(rows, "g string, y double").repartition(5), "y", ["g"], (-1.0, 1.0, 0.25)).collect()}
+    assert got.keys() == {*y, "same", None} and got["same"].llf is None and got["same"].lmbda is None
+    for g, v in [*y.items(), (None, np.array([2.0, 5.0]))]:
+        llf = {lam: -len(v) / 2 * math.log(np.var(np.log(v) if lam == 0 else (v ** lam - 1) / lam)) + (lam - 1) * np.log(v).sum()
+               for lam in np.arange(-1, 1.01, 0.25).round(6)}
+        assert got[g].lmbda == max(llf, key=llf.get) and abs(got[g].llf - max(llf.values())) < 1e-9
+
+
+def test_gram_tables_deal_rows_by_their_terms(spark, monkeypatch):
+    from kestrel.operators import matching as M
+    monkeypatch.setattr(M, "TERMS_PER_TASK", 20)
+    df = spark.createDataFrame([(k % 40, f"aa b{k} aa") for k in range(80)] + [(None, "aa")], "k int, t string")
+    out = M.bow_counts(df, "k", "t", (1, 2), 1)
+    assert out.rdd.getNumPartitions() > 8
+    got = {(r.key, r.term): r.n for r in out.collect()}
+    assert got[0, "aa"] == 4 and got[3, "b3 aa"] == 1 and got[None, "aa"] == 1 and len(got) == 40 * 7 + 1
+    out = M.gram_counts_table(df, "k", F.split("t", " "))
+    assert out.rdd.getNumPartitions() > 8
+    assert {(r.key, r.gram): r.n for r in out.collect()}[7, "aa"] == 4
