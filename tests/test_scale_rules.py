@@ -87,6 +87,23 @@ def test_prefix_kernel_with_a_key_of_half_the_rows(spark, monkeypatch):
     assert plain is not None and average_rank(df, [], "v").count() == 3000
 
 
+def test_prefix_offsets_are_of_split_groups_only(spark, monkeypatch):
+    """Many small groups and a hot one: the offsets, which go to every task, are a few rows a bucket, not one a group."""
+    from kestrel.operators import prefix, ranges
+    monkeypatch.setattr(ranges, "ROWS_PER_BUCKET", 100)
+    sent = []
+    plain = F.broadcast
+    monkeypatch.setattr(prefix.F, "broadcast", lambda df: sent.append(df) or plain(df))
+    rows = [(None if i % 50 == 0 else (-1 if i % 3 == 0 else i // 2), i, i % 7) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, o int, v int")
+    w = Window.partitionBy("g").orderBy(F.col("o").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("g", "o", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s"), F.min("v").over(w).alias("m"))
+    got = prefix_agg(df, ["g"], ["o"], [("s", "v", "sum"), ("m", "v", "min")], exclusive=True, descending=True).select("g", "o", "s", "m")
+    assert got.exceptAll(want).isEmpty() and got.count() == 2000
+    split, offsets = sent
+    assert split.count() < 8 and offsets.count() < 16
+
+
 @pytest.fixture(scope="module")
 def factors(spark):
     rng = random.Random(5)
