@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kestrel.operators.prefix import prefix_agg
 from kestrel.operators.relational import unpivot
 from kestrel.operators.selection import values_at_ranks
+from kestrel.session import small_side
 
 
 def _pct(a: Column, b: Column, digits: int = 2) -> Column:
@@ -87,7 +88,7 @@ def quantile_bins(df: DataFrame, col: str, bins: int = 10, rounding: int = 2,
     """
     g = group_cols or []
     e = edges if edges is not None else quantile_edges(df, col, bins, g)
-    j = df.join(e, g, "left") if g else df.withColumn("_edges", e.select("_edges").scalar())
+    j = df.join(small_side(e), g, "left") if g else df.withColumn("_edges", e.select("_edges").scalar())
     x = F.col(col).cast("double")
     b = bin_of(x, F.col("_edges"), bins + 1)
     low = F.round(F.element_at(F.col("_edges"), b + 1), rounding)

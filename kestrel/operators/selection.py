@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from kestrel.session import cut_lineage
+from kestrel.session import cut_lineage, small_side
 
 DIGITS = (44, 22, 0)  # lowest bit of each digit; the first has 20 bits (sign, exponent, 8 of the fraction)
 
@@ -57,7 +57,7 @@ def values_at_ranks(df: DataFrame, value: str, group_cols: list[str], wanted) ->
     for i, name in enumerate(names):
         prefix = [*g, *names[:i]]
         if picked is not None:
-            rows = rows.join(picked.select(*prefix).distinct(), prefix, "left_semi")
+            rows = rows.join(small_side(picked.select(*prefix).distinct()), prefix, "left_semi")
         last = i == len(names) - 1
         counts = rows.groupBy(*prefix, name).agg(F.count(F.lit(1)).alias("_c"), *([F.min("_v").alias("v")] if last else []))
         inside = Window.partitionBy(*prefix)

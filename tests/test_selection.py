@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kestrel.operators import relational as R
-from kestrel.operators.scorecard import exact_quantiles
+from kestrel.operators.scorecard import exact_quantiles, quantile_bins
 from kestrel.operators.selection import ordered_bits, values_at_ranks
 
 
@@ -76,3 +76,13 @@ def test_hot_product_is_spread_over_slices(spark):
     keys = joined.withColumn("slice", F.floor(F.datediff("d", F.lit("1970-01-01")) / 16)).groupBy("p", "slice").agg(F.countDistinct("id").alias("n")).collect()
     assert len(keys) > 50 and max(r.n for r in keys) <= 10_000 * 16 / 1000 + 20
     assert joined.count() == sum(1 for i in range(0, 20_000, 2) for k in range(30) if k * 30 <= i % 1000 <= k * 30 + 89)
+
+
+def test_bins_of_few_hot_groups_do_not_gather_them(spark, capsys):
+    """The edges of two groups go to the rows: no task gets all rows of a group."""
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(i)) for i in range(90)], "g string, x double")
+    out = quantile_bins(df, "x", 3, group_cols=["g"])
+    out.explain()
+    assert "BroadcastHashJoin" in (plan := capsys.readouterr().out) and "SortMergeJoin" not in plan
+    got = {(r.g, r.x_bin): r["count"] for r in out.groupBy("g", "x_bin").count().collect()}
+    assert got == {(g, b): n for g, n in (("a", 20), ("b", 10)) for b in range(3)}
