@@ -65,14 +65,14 @@ class Vocabulary:
         for i, b in self.bytes_of.items():
             self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
         self.automaton.make_automaton()
-        self._shorter: dict[int, int | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._shorter: dict[int, tuple[int, int] | None] = {}
+        self._fits: dict[int, bool] = {}
 
-    def shorter(self, token: int) -> int | None:
-        """The longest token that is a proper beginning of ``token``."""
+    def shorter(self, token: int) -> tuple[int, int] | None:
+        """The longest token that is a proper beginning of ``token``, and its size."""
         if token not in self._shorter:
             b = self.bytes_of[token]
-            self._shorter[token] = next((self.id_of[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.id_of), None)
+            self._shorter[token] = next(((self.id_of[b[:n]], n) for n in range(len(b) - 1, 0, -1) if b[:n] in self.id_of), None)
         return self._shorter[token]
 
     def fits(self, left: int, right: int) -> bool:
@@ -82,7 +82,7 @@ class Vocabulary:
         the two pieces that face each other had a merge that comes before the merge that
         would carry either of them further.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._fits.get(key)
         if known is None:
             known = True
@@ -101,7 +101,7 @@ class Vocabulary:
                     top, right_top, a = ra, False, self.parts[a][1]
                 else:
                     top, right_top, b = rb, True, self.parts[b][0]
-            if len(self._fits) > 100_000:
+            if len(self._fits) > 250_000:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -111,31 +111,34 @@ class Vocabulary:
         whole = self.id_of.get(word)
         if whole is not None:
             return [whole]
-        n = len(word)
-        longest = [0] * n
-        for end, (token, size) in self.automaton.iter(word.decode("latin-1")):
-            longest[end - size + 1] = token  # matches at a start come by growing end
-        size_of, fits, shorter = self.bytes_of, self.fits, self.shorter
-        refused = bytearray(n + 1)  # borders that no encoding of the beginning reaches
-        out: list[int] = []
-        at, token = 0, longest[0]
+        text = word.decode("latin-1")
+        n = len(text)
+        longest_from, fits, shorter, known = self.automaton.iter_long, self.fits, self.shorter, self._fits
+        refused: set[int] = set()  # borders that no encoding of the beginning reaches
+        out: list[tuple[int, int]] = []
+        at, last = 0, -1
+        ahead, straight = longest_from(text), True  # straight: ``ahead`` has just given the token that is tried
+        token, size = next(ahead)[1]
         while True:
-            last = out[-1] if out else None
-            while token is not None:
-                end = at + len(size_of[token])
-                if not refused[end] and (last is None or fits(last, token)):
-                    break
-                token = shorter(token)
-            if token is not None:
-                out.append(token)
-                if end == n:
-                    return out
-                at, token = end, longest[end]
-            else:
-                refused[at] = 1
-                out.pop()
-                at -= len(size_of[last])
-                token = last
+            if at + size not in refused and (last < 0 or (
+                    ok if (ok := known.get(last << 32 | token)) is not None else fits(last, token))):
+                out.append((token, size))
+                at, last = at + size, token
+                if at == n:
+                    return [t for t, _ in out]
+                if not straight:
+                    ahead, straight = longest_from(text, at), True
+                token, size = next(ahead)[1]
+                continue
+            straight = False
+            less = shorter(token)
+            while less is None:  # no token can follow: step back and take a shorter one there
+                refused.add(at)
+                token, size = out.pop()
+                at -= size
+                last = out[-1][0] if out else -1
+                less = shorter(token)
+            token, size = less
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}
@@ -154,15 +157,20 @@ def backtracking_encoder(path: str) -> ChunkEncoder:
     cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True))) + ")") \
         if vocab.special else None
     known: dict[str, list[int]] = {}
+    before: dict[str, list[int]] = {}  # words not met since ``known`` was last empty
 
     def one(chunk: str) -> list[int]:
+        nonlocal known, before
+        if chunk in known:  # a word by itself
+            return known[chunk]
         out: list[int] = []
         for word in split.findall(chunk):
             ids = known.get(word)
             if ids is None:
-                if len(known) > 80_000:
-                    known.clear()
-                ids = known[word] = vocab.encode_word(word.encode())
+                if len(known) > 60_000:
+                    known, before = {}, known
+                ids = before.get(word)
+                known[word] = ids = vocab.encode_word(word.encode()) if ids is None else ids
             out += ids
         return out
 

@@ -1,8 +1,8 @@
 """Whole texts to token ids, encoding every distinct chunk of text once.
 
 A byte-level tokenizer splits before a white-space character that a visible character
-follows, so a text can be cut there into chunks ("` word,`") whose ids do not depend on
-their neighbours. Chunks are told apart inside a slice by a 64-bit digest and kept by
+follows, and between a letter and a comma, full stop and the like, so a text can be cut there
+into chunks ("` word`", "`,`") whose ids do not depend on their neighbours. Chunks are told apart inside a slice by a 64-bit digest and kept by
 their bytes in a bounded table per worker; only chunks not in it go to the tokenizer.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
@@ -23,18 +24,28 @@ _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _VISIBLE = (np.arange(256) > 0x20) & ~np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 
 
+_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+_STOP = np.isin(np.arange(256), list(b",.;:!?()"))
+
+
+def stop_but(special: list[str]) -> np.ndarray:
+    """Bytes of marks that end a word of letters and stand in no special token."""
+    return _STOP & ~np.isin(np.arange(256), list("".join(special).encode()))
+
+
 def visible_but(special: list[str]) -> np.ndarray:
     """Bytes that surely begin a visible character and no special token."""
     return _VISIBLE & ~np.isin(np.arange(256), [s.encode()[0] for s in special if s])
 
 
-def chunk_starts(texts: Texts, visible: np.ndarray = _VISIBLE) -> np.ndarray:
-    """Starts of the chunks: text starts, and blanks before a visible character of the same text."""
+def chunk_starts(texts: Texts, visible: np.ndarray = _VISIBLE, stop: np.ndarray = _STOP) -> np.ndarray:
+    """Starts of the chunks: text starts, blanks before a visible character of the same text, marks after a letter."""
     data, off = texts.data, texts.off
     cut = np.zeros(len(data), bool)
     cut[:-1] = _BLANK[data[:-1]] & visible[data[1:]]
     begin = off[:-1][np.diff(off) > 0]
     cut[begin[begin > 0] - 1] = False  # the next visible character is in the next text
+    cut[1:] |= _LETTER[data[:-1]] & stop[data[1:]]
     cut[begin] = True
     return np.flatnonzero(cut)
 
@@ -47,7 +58,7 @@ class ChunkEncoder:
     """Ids of whole texts; ``encode`` gives (ids end to end, ids per chunk), ``most`` bounds the table's bytes."""
 
     def __init__(self, encode: Encode, special: list[str], most: int = 96 << 20):
-        self.encode, self.most, self.visible = encode, most, visible_but(special)
+        self.encode, self.most, self.visible, self.stop = encode, most, visible_but(special), stop_but(special)
         self._clear()
 
     def _clear(self) -> None:
@@ -70,7 +81,7 @@ class ChunkEncoder:
 
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, offsets of the texts in them)."""
-        starts = chunk_starts(texts, self.visible)
+        starts = chunk_starts(texts, self.visible, self.stop)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(texts.data))
@@ -79,8 +90,10 @@ class ChunkEncoder:
         keys = [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
         if self.held > self.most:
             self._clear()
-        self._learn(list(dict.fromkeys(k for k in keys if k not in self.place)))
-        entry = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        entry = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(entry < 0)  # every key is there once
+        entry[new] = np.arange(len(self.place), len(self.place) + len(new))
+        self._learn([keys[i] for i in new.tolist()])
         size = (self.begin[entry + 1] - self.begin[entry])[which]
         ids = self.ids[ragged(self.begin[entry][which], size)]
         total = np.append(0, np.cumsum(size))
@@ -126,21 +139,19 @@ def library_encoder(path: str) -> Callable[[Texts], tuple[np.ndarray, np.ndarray
 
     def chunks(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Chunks that begin with a blank go through the library some thousand bytes at a time."""
-        lead = [len(p) > 1 and _BLANK[p[0]] and visible[p[1]] for p in parts]
-        groups: list[list[bytes]] = []
-        size = 0
-        for p, joins in zip(parts, lead):
-            if joins and groups and 0 < size < 8192:
-                groups[-1].append(p)
-                size += len(p)
-            else:
-                groups.append([p])
-                size = len(p)
-        ids = plain([b"".join(g) for g in groups])
-        ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        reach, want = np.cumsum(width[ids]), np.cumsum([len(p) for p in parts], dtype=np.int64)
+        if not parts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        raw = b"".join(parts)
+        data = np.frombuffer(raw + b"\0", np.uint8)
+        want = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        start = np.append(0, want[:-1])
+        joins = (want - start > 1) & _BLANK[data[start]] & visible[data[start + 1]]
+        cut = start[~joins | np.append(True, np.diff(start // 8192) > 0)].tolist()
+        ids = plain([raw[a:b] for a, b in zip(cut, [*cut[1:], len(raw)])])
+        ids = np.concatenate(ids)
+        reach = np.cumsum(width[ids])
         upto = np.searchsorted(reach, want, side="right")
-        if len(parts) and not (upto[-1] == len(ids) and np.array_equal(reach[upto - 1], want)):
+        if not (upto[-1] == len(ids) and np.array_equal(reach[upto - 1], want)):
             raise ValueError(f"{path}: its tokens do not cover a text byte by byte")
         return ids, np.diff(upto, prepend=0)
 
