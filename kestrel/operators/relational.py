@@ -234,13 +234,15 @@ def anti_unmapped(df: DataFrame, mapping: DataFrame, on: list[str]) -> DataFrame
 
 
 def interval_match(items: DataFrame, campaigns: DataFrame, item_key: str, camp_key: str, date_col: str,
-                   start_col: str, end_col: str) -> DataFrame:
+                   start_col: str, end_col: str, most: int = 100_000) -> DataFrame:
     """Pairs of one product with ``start <= date <= end`` (both ends inclusive), by time slices.
 
     An interval of up to 2^k days is dealt to slices of 2^k / 8 days (nine at most, so copies of
     a campaign are bounded whatever its length), a date to the one slice of every width in use. The
     join key is (product, width, slice): a product that sells a lot spreads over its slices, meets
     only campaigns that touch the slice, and every pair is found in the slice of its date alone.
+    Spark judges a side by its compressed files, which tell nothing of the copies: only campaigns
+    counted to be few go to every task, others meet the items by a sort-merge join.
     """
     def day(c: str) -> Column:
         return F.datediff(F.col(c), F.lit("1970-01-01"))
@@ -250,11 +252,13 @@ def interval_match(items: DataFrame, campaigns: DataFrame, item_key: str, camp_k
 
     c = campaigns.withColumnRenamed(camp_key, "_ck").where(F.col(start_col) <= F.col(end_col)) \
         .withColumn("_level", F.ceil(F.log2(day(end_col) - day(start_col) + 1.0)).cast("int"))
-    levels = [r[0] for r in c.select("_level").distinct().collect()]  # powers of two of the interval lengths: a few
+    counts = c.groupBy("_level").count().collect()  # powers of two of the interval lengths: a few
+    levels = [r["_level"] for r in counts]
+    few = 9 * sum(r["count"] for r in counts) <= most
     c = c.withColumn("_slice", F.explode(F.sequence(slices(day(start_col), F.col("_level")), slices(day(end_col), F.col("_level")))))
     every = F.array(*[F.lit(n) for n in sorted(levels)]).cast("array<int>")
     i = items.withColumn("_level", F.explode(every)).withColumn("_slice", slices(day(date_col), F.col("_level")))
-    c = c.withColumnsRenamed({"_level": "_cl", "_slice": "_cs"})
+    c = c.withColumnsRenamed({"_level": "_cl", "_slice": "_cs"}).hint("broadcast" if few else "merge")
     j = i.join(c, (i[item_key] == c["_ck"]) & (i["_level"] == c["_cl"]) & (i["_slice"] == c["_cs"]) &
                (i[date_col] >= c[start_col]) & (i[date_col] <= c[end_col]), "inner")
     return j.drop("_ck", "_cl", "_cs", "_level", "_slice")

@@ -86,3 +86,16 @@ def test_bins_of_few_hot_groups_do_not_gather_them(spark, capsys):
     assert "BroadcastHashJoin" in (plan := capsys.readouterr().out) and "SortMergeJoin" not in plan
     got = {(r.g, r.x_bin): r["count"] for r in out.groupBy("g", "x_bin").count().collect()}
     assert got == {(g, b): n for g, n in (("a", 20), ("b", 10)) for b in range(3)}
+
+
+def test_many_campaigns_are_not_sent_to_every_task(spark, capsys):
+    """Copies by slice are counted: only few campaigns are broadcast, with the same pairs."""
+    items = spark.range(200).select("id", (F.col("id") % 40).alias("p"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 100).cast("int")).alias("d"))
+    camps = spark.range(40).select(F.col("id").alias("q"), F.lit("2000-01-10").cast("date").alias("s"), F.lit("2000-03-01").cast("date").alias("e"))
+    got = {}
+    for most in (100_000, 9 * 39):
+        joined = R.interval_match(items, camps, "p", "q", "d", "s", "e", most=most)
+        capsys.readouterr()
+        joined.explain()
+        got["SortMergeJoin" in capsys.readouterr().out] = sorted(r.id for r in joined.collect())
+    assert got[True] == got[False] == [i for i in range(200) if 9 <= i % 100 <= 60]
