@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kestrel.operators.prefix import prefix_agg
 from kestrel.operators.relational import unpivot
 from kestrel.operators.selection import values_at_ranks
-from kestrel.session import small_side
+from kestrel.session import cut_lineage, small_side
 
 
 def _pct(a: Column, b: Column, digits: int = 2) -> Column:
@@ -332,19 +332,44 @@ def seeded_share(seed: int, *ids: str) -> Column:
 def stratified_split(df: DataFrame, strata: list[str], id_col: str, sizes: dict[str, float],
                      seed: int = 42, name: str = "sample") -> DataFrame:
     """Exact, reproducible stratified split: rows ordered within each stratum by a seeded
-    digest of the id; a row's position share picks its part by cumulative ``sizes``."""
-    keyed = df.withColumn("_h", seeded_digest(seed, id_col))
-    pos = prefix_agg(keyed, strata, ["_h", id_col], [("_pos", "*", "count")])
-    sizes_df = keyed.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    j = pos.join(sizes_df, strata)
-    share = (F.col("_pos") - 0.5) / F.col("_n")
-    cum, expr = 0.0, None
-    items = list(sizes.items())
-    for label, s in items[:-1]:
-        cum += s
-        expr = F.when(share < cum, label) if expr is None else expr.when(share < cum, label)
-    expr = F.lit(items[-1][0]) if expr is None else expr.otherwise(items[-1][0])
-    return j.withColumn(name, expr).drop("_h", "_pos", "_n")
+    digest of the id; a row's position share picks its part by cumulative ``sizes``.
+
+    Rows are counted by the first digits of the digest; only those whose digits a cut falls into are ordered, the
+    others lie on one side of every cut and are neither shuffled nor written."""
+    cuts, cum = [], 0.0
+    for label, size in list(sizes.items())[:-1]:
+        cum += size
+        cuts.append((label, cum))
+    last, names = list(sizes)[-1], [*strata, *[c for c in df.columns if c not in strata]]
+
+    def named(parts: Column) -> list:
+        own = [parts.alias(name) if c == name else F.col(c) for c in names]
+        return own if name in names else [*own, parts.alias(name)]
+
+    def part(pos: Column, n: Column) -> Column:
+        out = F.lit(last)
+        for label, c in reversed(cuts):
+            out = F.when((pos - 0.5) / n < c, label).otherwise(out)
+        return out
+
+    keyed = df.withColumn("_h", seeded_digest(seed, id_col)).withColumn("_bin", F.substring("_h", 1, 4))
+    inside = Window.partitionBy(*strata)
+    before = inside.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = keyed.groupBy(*strata, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    for c in strata:
+        bins = bins.where(F.col(c).isNotNull())
+    bins = bins.withColumn("_n", F.sum("_c").over(inside)).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    bins = cut_lineage(bins.select(*strata, "_bin", "_n", "_before", part(F.col("_before") + 1, F.col("_n")).alias("_first"),
+                                   part(F.col("_before") + F.col("_c"), F.col("_n")).alias("_last")))
+    split = small_side(bins.where("_first != _last").select(*strata, "_bin", "_n", "_before"))
+    ends = small_side(bins.where("_first = _last").groupBy(*strata).agg(*[
+        F.max(F.when(F.col("_first") == label, F.col("_bin"))).alias(f"_end{k}") for k, (label, _) in enumerate(cuts)]))
+    whole = F.lit(last)
+    for k, (label, _) in reversed(list(enumerate(cuts))):
+        whole = F.when(F.col("_bin") <= F.col(f"_end{k}"), label).otherwise(whole)
+    clear = keyed.join(split.select(*strata, "_bin"), [*strata, "_bin"], "left_anti").join(ends, strata).select(*named(whole))
+    near = prefix_agg(keyed.join(split, [*strata, "_bin"]), [*strata, "_bin"], ["_h", id_col], [("_pos", "*", "count")])
+    return clear.unionByName(near.select(*named(part(F.col("_before") + F.col("_pos"), F.col("_n")))))
 
 
 def user_split(df: DataFrame, user: str, n_valid: int, seed: int = 42, frac: float = 0.5) -> DataFrame:

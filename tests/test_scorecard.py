@@ -56,3 +56,24 @@ def test_chi2_tail():
     assert abs(_chi2_sf(14.116, 8) - 0.0788) < 1e-3
     assert abs(_chi2_sf(3.0, 3) - 0.3916251762710877) < 1e-9
     assert math.isclose(_chi2_sf(0.0, 5), 1.0)
+
+
+def test_split_orders_only_rows_that_a_cut_may_divide(spark, monkeypatch):
+    """Equal ids, null ids and null strata: parts are those of a window over all rows, of which few are ordered."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    rows = [(None if i % 97 == 0 else i // 2, None if i % 50 == 0 else "ab"[i % 3 % 2], float(i)) for i in range(6000)] + [(7, "c", 1.0), (8, "c", 2.0)]
+    df = spark.createDataFrame(rows, "id int, s string, x double")
+    ordered, plain = [], SC.prefix_agg
+    monkeypatch.setattr(SC, "prefix_agg", lambda d, *a, **k: ordered.append(d.count()) or plain(d, *a, **k))
+    sizes = {"train": 0.5, "valid": 0.2, "test": 0.3}
+    out = SC.stratified_split(df, ["s"], "id", sizes, 3)
+    w = Window.partitionBy("s")
+    share = (F.row_number().over(w.orderBy(SC.seeded_digest(3, "id"), "id")) - 0.5) / F.count(F.lit(1)).over(w)
+    want = df.where("s IS NOT NULL").withColumn("sample", F.when(share < 0.5, "train").when(share < 0.7, "valid").otherwise("test"))
+    key = ["s", "id", "sample"]
+    assert out.columns == ["s", "id", "x", "sample"] and out.select("id", "s", "x").exceptAll(df).isEmpty()
+    assert sorted(map(str, out.groupBy(key).count().collect())) == sorted(map(str, want.groupBy(key).count().collect()))
+    assert sum(ordered) < 100
+    again = SC.stratified_split(df.withColumn("sample", F.lit("old")).select("sample", "id", "s", "x"), ["s"], "id", sizes, 3)
+    assert again.columns == ["s", "sample", "id", "x"] and again.select(*out.columns).exceptAll(out).isEmpty()
